@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 _FALLBACK = os.path.join(tempfile.gettempdir(), f"polyglint-{os.getpid()}")
 
-#: Byte budget of one worker's memo of words; beyond it the memo starts afresh.
-MEMO_ENTRIES = 400_000
+#: Words that one worker's memo holds (some 200 bytes each) before it starts afresh.
+MEMO_ENTRIES = 1_000_000
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a regular expression for the JVM and for DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyglint.llm.pieces import encode_decode
 from polyglint.llm.simhash import simhash_groups
+from polyglint.llm.token_store import store_round_trip
 from polyglint.runtime import ready, table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file: in the folder named by POLYGLINT_TOKENIZERS, or where the installed package has it."""
+    if folder := os.environ.get("POLYGLINT_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "pieces.*")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(table(ready(spark), sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(ready(spark), sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op8_token_store": op8_token_store,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
