@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyglint.llm import language_id, toxicity
+from polyglint.llm.common import crc32_mod
 from polyglint.llm.pieces import encode_decode
 from polyglint.llm.simhash import simhash_groups
 from polyglint.llm.token_store import store_round_trip
@@ -27,6 +29,20 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "pieces.*")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    fold = crc32_mod("doc_id", 4)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs, fold != 2))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    fold = crc32_mod("doc_id", 3)
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 1))
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(table(ready(spark), sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -38,6 +54,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_token_store": op8_token_store,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

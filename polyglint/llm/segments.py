@@ -20,7 +20,7 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-class _Rows(dict):
+class WordRows(dict):
     """Segment to row number; an unknown segment gets the next one and is noted in `new`."""
 
     def __init__(self) -> None:
@@ -45,7 +45,7 @@ class SegmentMemo:
         self._clear()
 
     def _clear(self) -> None:
-        self.row = _Rows()
+        self.row = WordRows()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
