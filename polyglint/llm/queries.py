@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from polyglint.llm import language_id, toxicity
 from polyglint.llm.common import crc32_mod
+from polyglint.llm.line_dedup import drop_recurring_lines
+from polyglint.llm.mixing import mixed
 from polyglint.llm.pieces import encode_decode
 from polyglint.llm.simhash import simhash_groups
 from polyglint.llm.token_store import store_round_trip
@@ -24,6 +26,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs).select("doc_id", "text", F.col("lines.total").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "pieces.*")
@@ -53,6 +65,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
@@ -60,4 +74,24 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_OP3 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
+r AS (SELECT *, 2 * source_size AS cap, 2 * source_size / weight::DOUBLE AS ratio FROM w),
+l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+    FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, ratio) FILTER (WHERE ratio > level) AS final FROM l),
+t AS (SELECT source, source_size, least(least(ratio, coalesce(final, ratio)) * weight, cap::DOUBLE) AS target FROM l, f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+q AS (SELECT *, greatest(0::DOUBLE, target - whole * source_size) AS part FROM p),
+x AS (SELECT d.*, source_size, target, whole, part, sum(size) OVER (PARTITION BY d.source ORDER BY draw) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+y AS (SELECT *, part - max(CASE WHEN upto <= part THEN upto ELSE 0 END) OVER (PARTITION BY source) AS missing FROM x),
+g AS (SELECT source, draw, missing, sum(size) AS gain FROM y WHERE upto > part AND size > 0 GROUP BY source, draw, missing HAVING gain < 2 * missing),
+n AS (SELECT source, arg_min(draw, (abs(gain - missing), draw)) AS near FROM g GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN upto <= part OR coalesce(draw = near, false) THEN 1 ELSE 0 END) AS taken
+FROM y LEFT JOIN n ON y.source IS NOT DISTINCT FROM n.source
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": _OP3}
