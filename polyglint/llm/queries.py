@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import language_id, toxicity
+from polyglint.llm import language_id, quality, toxicity
 from polyglint.llm.common import crc32_mod
 from polyglint.llm.line_dedup import drop_recurring_lines
 from polyglint.llm.mixing import mixed
@@ -59,6 +59,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(table(ready(spark), sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "quality.*", quality.keeps(F.col("quality.score")).alias("keep"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(ready(spark), sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -71,6 +77,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_token_store": op8_token_store,
+    "op9_quality": op9_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
