@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from polyglint.llm import language_id, quality, toxicity
 from polyglint.llm.common import crc32_mod
+from polyglint.llm.embedding_dedup import near_vectors
 from polyglint.llm.line_dedup import drop_recurring_lines
 from polyglint.llm.mixing import mixed
 from polyglint.llm.pieces import encode_decode
@@ -26,6 +27,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(ready(spark), sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "source", "text")
     return mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -71,6 +77,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
