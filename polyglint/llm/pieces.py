@@ -201,12 +201,12 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", digest: bo
         for texts in batches:
             rows = []
             for ids in encode_texts([t or "" for t in texts], path):
-                ids = ids.tolist()
-                decoded = model.library.decode(ids) if ids else ""
+                listed = ids.tolist()
+                decoded = model.library.decode(listed) if listed else ""
                 if digest:
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    rows.append((len(ids), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 else:
-                    rows.append((len(ids), ids, decoded))
+                    rows.append((len(ids), ids.astype(np.int32), decoded))
             yield pd.DataFrame(rows, columns=["n_tokens", *names])
 
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")

@@ -76,6 +76,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_quality": op9_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "pipeline": pipeline,
 }
 
 _OP3 = r"""
