@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import language_id, quality, toxicity
+from polyglint.llm import bm25, language_id, quality, toxicity
 from polyglint.llm.common import crc32_mod
 from polyglint.llm.embedding_dedup import near_vectors
 from polyglint.llm.line_dedup import drop_recurring_lines
@@ -27,6 +27,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(docs, docs.where(bm25.every_twentieth()))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(ready(spark), sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
@@ -83,6 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bm25_top_k": op1_bm25_top_k,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
