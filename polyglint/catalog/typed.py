@@ -234,9 +234,7 @@ def geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x51_geohash_text")
 def geohash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = G.encode(F.col("lon"), F.col("lat"))
-    lon, lat = G.decode(score)
-    return places(spark, sf_dir).select("member", G.hash_text(score).alias("hash"), F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+    return G.with_hash_text(places(spark, sf_dir)).select("member", "hash", F.round("cell_lon", 5).alias("lon"), F.round("cell_lat", 5).alias("lat"))
 
 
 @query("x54_distance_units", f"SELECT member, printf('%.4f', {_DIST.format(lon=0, lat=0)} / 1000.0) AS km FROM {PLACES} p WHERE member < 'Customer#000000050'")

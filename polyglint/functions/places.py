@@ -46,11 +46,16 @@ def decode(score: Column) -> tuple[Column, Column]:
     return middle(_gather(F.shiftrightunsigned(score, 1)), 180.0), middle(_gather(score), LAT_BOUND)
 
 
-def hash_text(score: Column) -> Column:
-    """Ten base-32 characters of the cell's middle on the usual grid, then a 0."""
-    bits = encode(*decode(score), lat_bound=90.0)
-    letters = [F.substring(F.lit(BASE32), F.shiftrightunsigned(bits, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(10)]
-    return F.concat(*letters, F.lit("0"))
+def with_hash_text(places: DataFrame) -> DataFrame:
+    """Adds score, the longitude and latitude of its cell's middle, and the hash text: ten base-32 characters of that middle on the usual grid, then a 0.
+
+    Each step is a column of its own, as each uses the one before many times.
+    """
+    lon, lat = decode(F.col("score"))
+    steps = places.withColumn("score", encode(F.col("lon"), F.col("lat"))).withColumns({"cell_lon": lon, "cell_lat": lat})
+    steps = steps.withColumn("grid", encode(F.col("cell_lon"), F.col("cell_lat"), lat_bound=90.0))
+    letters = [F.substring(F.lit(BASE32), F.shiftrightunsigned("grid", 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(10)]
+    return steps.withColumn("hash", F.concat(*letters, F.lit("0"))).drop("grid")
 
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
