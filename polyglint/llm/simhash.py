@@ -63,7 +63,8 @@ def near_links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame
     upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     tagged = [s.bitwiseOR(F.lit(k << 32)) for k, s in enumerate((upper, lower))]
     stored = prints.select(F.explode(F.array(*tagged)).alias("key"), F.col("fp").alias("b"))
-    probes = prints.select(F.explode(F.concat(*(F.transform(F.array(*map(F.lit, _ball(r))), lambda m, s=s: s.bitwiseXOR(m)) for s, r in zip(tagged, radius, strict=True)))).alias("key"), F.col("fp").alias("a"))
+    looked_up = [t.bitwiseXOR(F.lit(mask)) for t, r in zip(tagged, radius, strict=True) for mask in _ball(r)]
+    probes = prints.select(F.explode(F.array(*looked_up)).alias("key"), F.col("fp").alias("a"))
     return probes.join(stored, "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).select("a", "b").distinct()
 
 
