@@ -34,7 +34,7 @@ class PartialMatching:
         times = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), len(langs))
         flat, word, depth = self._bytes(words)
         for n in range(order + 1):
-            at = np.flatnonzero(depth > n)
+            at = np.flatnonzero(depth >= max(n, 1))
             keys, of = np.unique(self._keys(flat, at, n), return_inverse=True)
             seen = np.stack([np.bincount(of, times[word[at], k], len(keys)) for k in range(len(langs))], axis=1) if langs else np.zeros((len(keys), 0))
             contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
@@ -69,7 +69,7 @@ class PartialMatching:
         bits = np.full((len(at), len(self.langs)), 8.0, np.float32)
         open_ = np.arange(len(at))
         for n, (keys, own, context_of, contexts, escape) in enumerate(self.levels):
-            open_ = open_[depth[at[open_]] > n]
+            open_ = open_[depth[at[open_]] >= n]
             if not len(open_) or not len(keys):
                 break
             key = self._keys(flat, at[open_], n)
