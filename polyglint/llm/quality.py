@@ -18,6 +18,8 @@ TRAIN_ROWS, POOL_ROWS = 10_000, 4_000
 #: Rounds of exchange; how sure a view must be to teach, and how many rows of each class it may in a round.
 ROUNDS, SURE, TAUGHT = 3, 0.98, 200
 KEEP = 0.5
+#: Rows of each label that calibration needs among the held ones.
+FEW = 10
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), range(128, 256), [33], [124], [46, 44], [10], [32, 9], [*range(35, 39), 42], [*range(34, 35), *range(39, 42), 43, 45, *range(47, 48), *range(58, 65), *range(91, 97), 123, 125, 126]]
 _OF_CLASS = np.zeros((256, len(_CLASSES)))
 for _k, _bytes in enumerate(_CLASSES):
@@ -98,17 +100,20 @@ class CoTraining:
         y = rows["y"].to_numpy(float)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         self.levels = {c: {v: k for k, v in enumerate(sorted(rows[c].dropna().unique())[:200])} for c in ("source", "lang")}
-        held = rows["held"].to_numpy(bool)
-        self.fitted = min((y[~held] == 1).sum(), (y[~held] == 0).sum(), held.sum()) > 0
+        self.fitted = 0 < y.sum() < len(y)
         if not self.fitted:
             return
+        held = rows["held"].to_numpy(bool)
+        learned = ~held
+        if min(y[held].sum(), (1 - y[held]).sum()) < FEW:  # too few for a calibration of their own: all rows serve both
+            held = learned = np.ones(len(y), bool)
         self.views = (View(1.0), View(5.0))
         x, u = self.features(rows), self.features(pool)
         taught: list[dict[int, float]] = [{}, {}]
         for turn in range(rounds + 1):
             for view, own, new, extra in zip(self.views, x, u, taught, strict=True):
                 at = [*extra]
-                view.fit(np.vstack([own[~held], new[at]]), np.concatenate([y[~held], [extra[i] for i in at]]))
+                view.fit(np.vstack([own[learned], new[at]]), np.concatenate([y[learned], [extra[i] for i in at]]))
             if turn == rounds or not len(pool):
                 break
             for teacher, pupil in ((0, 1), (1, 0)):
