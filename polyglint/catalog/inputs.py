@@ -17,7 +17,7 @@ VERSIONS = "(SELECT 'u' || lpad((user_id % 300)::VARCHAR, 4, '0') AS key, props
 CHANGES = "(SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'REGION_MOVE' ELSE 'PUT' END AS type, 'k' || (user_id % 200) AS key, value, event_type = 'error' AS deleted, 'r' || (event_id % 3) AS region, 'c' || (event_id % 4) AS cluster, epoch_us(ts) // 60000000 AS ts, epoch_us(ts) // 1000 AS ts_ms FROM events)"
 POINTS = "(SELECT event_type AS series, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, value FROM events)"
 SETS = "(SELECT p_brand AS key, p_type AS member FROM part)"
-ZSETS = "(SELECT c_mktsegment AS key, c_name AS member, round(c_acctbal / 100) AS score FROM customer)"
+ZSETS = "(SELECT c_mktsegment AS key, c_name AS member, round(c_acctbal / 100) + 0.0 AS score FROM customer)"
 PLACES = "(SELECT c_name AS member, (c_custkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (c_custkey * 17 % 1700) / 10.0::DOUBLE - 85 AS lat FROM customer)"
 
 
@@ -46,7 +46,7 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(ready(spark), sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), F.round(F.col("c_acctbal") / 100).alias("score"))
+    return table(ready(spark), sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), (F.round(F.col("c_acctbal") / 100) + 0.0).alias("score"))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
