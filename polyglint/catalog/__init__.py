@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from polyglint.catalog import logs, relational, typed  # noqa: F401
+    from polyglint.catalog import further, logs, relational, typed  # noqa: F401

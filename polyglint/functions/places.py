@@ -95,3 +95,12 @@ def within_radius(places: DataFrame, lon: float, lat: float, radius: float, unit
 def within_box(places: DataFrame, lon: float, lat: float, width: float, height: float, unit: str = "m") -> DataFrame:
     metres = box_distance(width * UNITS[unit], height * UNITS[unit], F.col("lon"), F.col("lat"), lon, lat)
     return places.select("member", metres.alias("metres")).where("metres >= 0").orderBy("metres", "member")
+
+
+def added(held: DataFrame, new: DataFrame, mode: str | None = None) -> DataFrame:
+    """(member, lon, lat, changed) after adding places: mode NX only adds, XX only moves; changed marks rows that were added or moved."""
+    mine = new.select("member", F.struct("lon", "lat").alias("to"))
+    both = held.select("member", F.struct("lon", "lat").alias("at")).join(mine, "member", "full")
+    take = F.col("to").isNotNull() & (F.col("at").isNull() if mode == "NX" else F.col("at").isNotNull() if mode == "XX" else F.lit(True))
+    placed = both.select("member", F.when(take, F.col("to")).otherwise(F.col("at")).alias("p"), (take & ~F.col("to").eqNullSafe(F.col("at"))).alias("changed"))
+    return placed.where("p is not null").select("member", "p.lon", "p.lat", "changed")

@@ -74,3 +74,31 @@ class CellIndex:
     def search(self, query: Sequence[float], k: int = 10, probes: int = 16) -> DataFrame:
         order = np.argsort(-(self.centroids @ np.asarray(query, float)))[:probes]
         return search(self.table.where(F.col("cell").isin(*order.tolist())), query, k)
+
+
+class IndexRegistry:
+    """Collections that may be searched from SQL, with their dimensions."""
+
+    def __init__(self) -> None:
+        self._dimensions: dict[str, int] = {}
+
+    def register(self, collection: str, dimension: int) -> None:
+        self._dimensions[collection] = dimension
+
+    def search(self, vectors: DataFrame, collection: str, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
+        """A hybrid search; raises for a collection without an index and for a query of another dimension."""
+        if self._dimensions.get(collection) != len(query):
+            raise ValueError(f"no index of dimension {len(query)} on {collection}")
+        return search(vectors, query, k, where)
+
+
+def save(vectors: DataFrame, path: str) -> None:
+    """One folder for each collection, so that a search reads its own alone."""
+    vectors.write.mode("overwrite").partitionBy("collection").parquet(path)
+
+
+def upserted(held: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, embedding) after changes (seq, id, embedding), the last of each id; a null embedding deletes."""
+    last = changes.groupBy("id").agg(F.max_by(F.struct("embedding"), "seq").alias("c")).select("id", F.col("c.embedding").alias("embedding"))
+    rest = held.join(last, "id", "left_anti").select("id", "embedding")
+    return rest.unionByName(last.where("embedding is not null"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,3 +150,14 @@ def weighted_mean(rows: DataFrame, value: str, weight: str) -> DataFrame:
 def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows in an order: a heap for each partition, then one over their results."""
     return rows.orderBy(*order).limit(k)
+
+
+def execute_shards(shards: Sequence[object], work: Callable[[object], DataFrame]) -> DataFrame:
+    """Rows of all shards by a callback that gives each shard's plan, one for each key: one job, in which shards are partitions of the work."""
+    return merge_regions([work(s) for s in shards]).select("key", "value")
+
+
+def lifecycle(objects: DataFrame, now_ms: int, warm_ms: int, cold_ms: int, expire_ms: int) -> DataFrame:
+    """Adds the tier that an object's age asks for: HOT, WARM, COLD or EXPIRED."""
+    age = F.lit(now_ms) - F.col("ts_ms")
+    return objects.withColumn("tier", F.when(age >= expire_ms, "EXPIRED").when(age >= cold_ms, "COLD").when(age >= warm_ms, "WARM").otherwise("HOT"))
