@@ -8,10 +8,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyglint.llm.segments import SegmentMemo
 
@@ -19,6 +20,8 @@ SPACE = "▁"
 NEVER = np.int64(1) << 30
 #: Longer words are merged one pair at a time from a heap: rounds would cost the square of the length.
 LONG_WORD = 256
+#: Characters whose results are held at a time, and words that a worker remembers.
+BATCH_CHARS, MEMO_WORDS = 2_000_000, 300_000
 
 
 class PieceModel:
@@ -178,7 +181,7 @@ _MODELS: dict[str, tuple[PieceModel, SegmentMemo]] = {}
 def _loaded(path: str) -> tuple[PieceModel, SegmentMemo]:
     if path not in _MODELS:
         model = PieceModel(path)
-        _MODELS[path] = model, SegmentMemo(model.encode_segments, model.cut, model.safe_cut)
+        _MODELS[path] = model, SegmentMemo(model.encode_segments, model.cut, model.safe_cut, MEMO_WORDS)
     return _MODELS[path]
 
 
@@ -192,23 +195,36 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", digest: bo
     """All columns of `docs` and a struct `pieces`: n_tokens, then ids_sha256 and decoded_sha256 or (digest=False) ids and decoded.
 
     Whole texts are encoded as the sentencepiece library encodes them, without begin or end ids, and the library decodes
-    the ids. Null is as empty: no ids, an empty text. `path` must be readable on every executor. Narrow: no shuffle.
-    An input column named `pieces` is replaced.
+    the ids. Null is as empty: no ids, an empty text. `path` must be readable on every executor. Narrow: no shuffle;
+    results leave in batches of about BATCH_CHARS characters. An input column named `pieces` is replaced.
     """
-
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _loaded(path)[0]
-        for texts in batches:
-            rows = []
-            for ids in encode_texts([t or "" for t in texts], path):
-                listed = ids.tolist()
-                decoded = model.library.decode(listed) if listed else ""
-                if digest:
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                else:
-                    rows.append((len(ids), ids.astype(np.int32), decoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", *names])
-
-    names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
-    return docs.withColumn("pieces", F.pandas_udf(coded, kind)(F.col(text_col)))
+    kept = docs.select(*(F.col(c) for c in docs.columns if c != "pieces"))
+    at = kept.columns.index(text_col)
+
+    def packed(texts: list[str]) -> pa.StructArray:
+        library, ids = _loaded(path)[0].library, list(encode_texts(texts, path))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        decoded, digests = [], []
+        for one in ids:
+            listed = one.tolist()
+            text = library.decode(listed) if listed else ""
+            decoded.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
+            if digest:
+                digests.append(hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest())
+        if digest:
+            return pa.StructArray.from_arrays([pa.array(lengths), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        flat = pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
+        return pa.StructArray.from_arrays([pa.array(lengths), lists, pa.array(decoded, pa.string())], ["n_tokens", "ids", "decoded"])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum([len(t) for t in (x.as_py() or "" for x in batch.column(at))])
+            ends = [*np.flatnonzero(np.diff(sizes // BATCH_CHARS)) + 1, len(sizes)]
+            for start, end in zip([0, *ends], ends, strict=False):
+                if end > start:
+                    part = batch.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, packed([t or "" for t in part.column(at).to_pylist()])], [*part.schema.names, "pieces"])
+
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
+    return kept.mapInArrow(coded, T.StructType([*kept.schema.fields, T.StructField("pieces", T.StructType.fromDDL(fields))]))
