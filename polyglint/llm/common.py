@@ -37,3 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def crc32_mod(column: Column | str, modulus: int) -> Column:
     """crc32 of an integer id's decimal text, modulo `modulus`; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it, such that `df` has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import WORD, written
+from polyglint.llm.common import WORD, fresh, written
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often it may repeat a source.
 BUDGET, MAX_EPOCHS = 1.5, 2
 SEED = "mix-1"
-#: Hash slices of a source: only the one in which its sample ends is ordered.
-SLICES = 1 << 16
+#: Hash slices of a source (a power of two): their sums are ordered, and then only the rows of the one in which its sample ends.
+SLICE_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +66,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     keyed = _keyed(docs, id_col, text_col, source_col)
     sized = written(keyed.select("mix.*"), "sizes")
-    slices = written(sized.groupBy("key", "source", F.shiftright("draw", 44).alias("slice")).agg(F.sum("size").alias("words")), "slices")
+    slices = written(sized.groupBy("key", "source", F.shiftright("draw", 60 - SLICE_BITS).alias("slice")).agg(F.sum("size").alias("words")), "slices")
     targets = water_fill(slices.groupBy("key", "source").agg(F.sum("words").alias("source_size")).select("source", "source_size"), budget, max_epochs, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("whole", whole)
@@ -78,18 +78,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cut = cut.select("key", "part", "c.*")
 
     # Within it, the last draw that still fits.
-    there = sized.join(cut, (sized.key == cut.key) & (F.shiftright("draw", 44) == cut.slice)).select(cut.key, "part", "before", "draw", "size")
+    there = sized.join(cut, (sized.key == cut.key) & (F.shiftright("draw", 60 - SLICE_BITS) == cut.slice)).select(cut.key, "part", "before", "draw", "size")
     filled = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     edge = there.withColumn("filled", filled).where("filled <= part").groupBy("key").agg(F.max("draw").alias("edge"), F.max("filled").alias("filled"))
-    ends = cut.join(edge, "key", "left").select("key", F.coalesce("edge", F.shiftleft(F.col("slice").cast("long"), 44) - 1).alias("edge"), (F.col("part") - F.coalesce("filled", "before")).alias("missing"))
+    ends = cut.join(edge, "key", "left").select("key", F.coalesce("edge", F.shiftleft(F.col("slice").cast("long"), 60 - SLICE_BITS) - 1).alias("edge"), (F.col("part") - F.coalesce("filled", "before")).alias("missing"))
     ends = written(targets.join(ends, "key", "left").select(targets.key, "source_size", "target", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("missing", F.lit(0.0)).alias("missing")), "ends")
 
     # Beyond it, the rows of one id whose words come nearest to what is missing.
     gains = sized.join(ends, "key").where("draw > edge and size > 0 and size < 2 * missing").groupBy("key", "missing", "draw").agg(F.sum("size").alias("gain")).where("gain < 2 * missing")
     near = gains.groupBy("key").agg(F.min_by("draw", F.struct(F.abs(F.col("gain") - F.col("missing")), "draw")).alias("near"))
-    plan = written(ends.join(near, "key", "left").select(F.struct("*").alias("plan")), "plan")
+    plan = written(ends.join(near, "key", "left"), "plan")
 
-    extra = (F.col("mix.draw") <= F.col("plan.edge")) | F.coalesce(F.col("mix.draw") == F.col("plan.near"), F.lit(False))
-    copies = F.least(F.col("plan.whole") + extra.cast("long"), F.lit(max_epochs)).cast("int")
+    p = F.col(own := fresh(docs, "plan"))
+    extra = (F.col("mix.draw") <= p["edge"]) | F.coalesce(F.col("mix.draw") == p["near"], F.lit(False))
+    copies = F.least(p["whole"] + extra.cast("long"), F.lit(max_epochs)).cast("int")
     kept = [c for c in docs.columns if c != "mix"]
-    return keyed.join(plan, F.col("mix.key") == F.col("plan.key")).select(*kept, F.struct("mix.size", "plan.source_size", "plan.target", copies.alias("copies")).alias("mix"))
+    placed = keyed.join(plan.select(F.struct("*").alias(own)), F.col("mix.key") == p["key"])
+    return placed.select(*kept, F.struct("mix.size", p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies")).alias("mix"))
