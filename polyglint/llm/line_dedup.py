@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import written
+from polyglint.llm.common import fresh, written
 
 #: A template recurs if its lines are in so many documents; shorter lines are never dropped.
 MIN_DOCS, MIN_TOKENS = 10, 3
@@ -22,9 +22,9 @@ def _form(line: Column) -> Column:
     return F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " +", " ")).otherwise(masked))
 
 
-def _lines(docs: DataFrame, row: Column, text_col: str) -> DataFrame:
-    """(row, no, form, leaf) of the lines that have MIN_TOKENS tokens."""
-    lines = docs.select(row.alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line")).select("row", "no", _form(F.col("line")).alias("form"))
+def _lines(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, no, form, leaf) of the lines that have MIN_TOKENS tokens."""
+    lines = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line")).select("row", "id", "no", _form(F.col("line")).alias("form"))
     count = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
     return lines.where(count >= MIN_TOKENS).withColumn("leaf", F.xxhash64(count, F.substring_index("form", " ", DEPTH)))
 
@@ -35,19 +35,19 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A line goes down a tree by its token count and its leading tokens; tokens with a digit are variable. In a leaf,
     a token is constant at its place if lines of at least `min_docs` documents have it there, else variable; what remains is
     the line's template. A template of which at least half is constant and whose lines are in at least `min_docs` documents
-    recurs: all its lines are dropped but the first (of the least row hash), and the other lines stay in order.
+    recurs: all its lines are dropped but the first (of the least id, null before all), and the other lines stay in order.
 
     Lines that occur often are counted as forms, not compared with each other; only forms of leaves with enough documents are
     taken apart. Null text stays null with 0 lines; an empty text has one line, which stays. Rows alike in id and text count as
     one document and are treated alike; documents whose lines all go keep an empty text. An input column named `lines` is replaced.
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
-    lines = _lines(docs, row, text_col)
-    slim = written(lines.select("row", "no", "leaf", F.xxhash64("leaf", "form").alias("form")), "lines")
-    leaves = slim.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    lines = _lines(docs, row, id_col, text_col)
+    slim = written(lines.select("row", "id", "no", "leaf", F.xxhash64("leaf", "form").alias("form")), "lines")
+    leaves = written(slim.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     held = written(slim.join(leaves, "leaf", "left_semi"), "held")
     counts = held.select("form", "row").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    wanted = lines.join(written(held.select("leaf").distinct(), "leaves"), "leaf", "left_semi")
+    wanted = lines.join(leaves, "leaf", "left_semi")
     forms = wanted.groupBy(F.xxhash64("leaf", "form").alias("form")).agg(F.first("leaf").alias("leaf"), F.first("form").alias("tokens"))
     tokens = written(forms.join(counts, "form").select("form", "leaf", "n", F.posexplode(F.split("tokens", " ")).alias("place", "token")), "tokens")
     constant = tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant"))
@@ -55,13 +55,15 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE)
     shapes = marked.groupBy("form", "leaf").agg(F.sort_array(F.collect_list(F.struct("place", kept.alias("token")))).alias("shape"), F.avg(F.col("constant").cast("int")).alias("share"))
     templates = shapes.where(F.col("share") >= CONSTANT).select("form", F.xxhash64("leaf", "shape").alias("template"))
-    placed = written(held.join(templates, "form").select("template", "row", "no"), "placed")
-    recurring = placed.groupBy("template", "row").agg(F.min("no").alias("no")).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "no")).alias("first")).where(F.col("n") >= min_docs)
-    gone = placed.join(recurring, "template").where(F.struct("row", "no") != F.col("first")).groupBy("row").agg(F.collect_set("no").alias("gone"))
+    placed = written(held.join(templates, "form").select("template", "id", "row", "no"), "placed")
+    recurring = placed.groupBy("template", "id", "row").agg(F.min("no").alias("no")).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "no")).alias("first")).where(F.col("n") >= min_docs)
+    gone = placed.join(written(recurring, "recurring"), "template").where(F.struct("row", "no") != F.struct("first.row", "first.no")).groupBy("row").agg(F.collect_set("no").alias("gone"))
+    own = fresh(docs, "gone")
+    mark = F.col(own)
     every = F.split(F.col(text_col), "\n")
-    left = F.filter(F.transform(every, lambda line, k: F.struct(k.alias("no"), line.alias("line"))), lambda x: ~F.array_contains(F.col("gone"), x["no"]))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
-    found = docs.withColumn("lines", F.struct(row.alias("row"))).join(gone.withColumnRenamed("row", "gone_row"), F.col("lines.row") == F.col("gone_row"), "left")
+    left = F.filter(F.transform(every, lambda line, k: F.struct(k.alias("no"), line.alias("line"))), lambda x: ~F.array_contains(mark["gone"], x["no"]))
+    text = F.when(mark.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+    found = docs.join(gone.select(F.struct("row", "gone").alias(own)), row == mark["row"], "left")
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every))
-    facts = F.struct(total.alias("total"), F.coalesce(F.size("gone"), F.lit(0)).alias("dropped"))
+    facts = F.struct(total.alias("total"), F.coalesce(F.size(mark["gone"]), F.lit(0)).alias("dropped"))
     return found.select(*((text if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != "lines"), facts.alias("lines"))
