@@ -9,9 +9,9 @@ from polyglint.llm import quality
 from polyglint.llm.common import written
 from polyglint.llm.line_dedup import drop_recurring_lines
 from polyglint.llm.mixing import mixed
+from polyglint.llm.near_copies import first_of_each_group
 from polyglint.llm.pieces import encode_decode
 from polyglint.llm.queries import tokenizer_path
-from polyglint.llm.simhash import simhash_groups
 from polyglint.runtime import ready, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,11 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group. Rows without an id stay; rows that share one are one document."""
-    groups = simhash_groups(docs.where("doc_id is not null"))
-    first = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null").select(COLUMNS))
+    """The document with the least id of each group that pairs of 5-word Jaccard similarity 0.8 or more connect; rows without an id take part."""
+    return first_of_each_group(docs).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

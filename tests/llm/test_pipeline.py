@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, and the columns of the registered queries."""
 
 import os
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -109,3 +110,47 @@ def test_queries_cover_their_whole_table(spark, name):
         assert out.where("rank = 1 and query_id != doc_id").count() <= 0.2 * queries.count()
     else:
         assert out.count() == table(spark, SF, "embeddings" if name == "op2_embedding_dedup" else "documents").count()
+
+
+def plain_firsts(rows):
+    """(doc_id, text) of the first row of each group, by brute-force Jaccard similarity of 5-word shingles."""
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [grams(r["text"]) for r in rows]
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if part[i] != part[j] and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    return {p: min(order(r) for r, q in zip(rows, part, strict=True) if q == p) for p in set(part)}
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        base = rng.choices(words, k=rng.randint(3, 120))
+        rows.append((" ".join(base),))
+        for _ in range(rng.randint(0, 3)):
+            near = [w if rng.random() > 0.02 else rng.choice(words) for w in base]
+            rows.append((" ".join(near),))
+    crowd = rng.choices(words, k=100)
+    rows += [(" ".join(w if rng.random() > 0.02 else rng.choice(words) for w in crowd),) for _ in range(60)]
+    rows += [(None,), ("",), (" \n",), rows[0]]
+    rng.shuffle(rows)
+    rows = [(None if i % 5 == 0 else i // 2, r[0], "en", "a", 1) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    expected = plain_firsts(docs.collect())
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == Counter(expected.values())
+    assert len(out) < len(rows) - 60
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_stage_against_brute_force(stages):
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stages[3]) == sorted(plain_firsts(stages[2]).values())
