@@ -49,7 +49,8 @@ def collections(vectors: DataFrame, collection: Column) -> DataFrame:
 
 
 class CellIndex:
-    """An approximate index: unit vectors in the cells of seeded centroids; a search reads the `probes` nearest cells and scores them exactly.
+    """An index: unit vectors in the cells of seeded centroids; a search scores the `probes` nearest cells, then all whose
+    widest angle leaves room for a better vector, so it finds what a search of all vectors does.
 
     The number of centroids is bounded, and they are fitted on a bounded sample; every vector is in a cell.
     """
@@ -66,14 +67,25 @@ class CellIndex:
                 self.centroids[c] = mean / max(np.linalg.norm(mean), 1e-12)
         centroids = self.centroids
 
-        def cell(column: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(column).astype(float) @ centroids.T).argmax(axis=1).astype(np.int32))
+        def cell(column: pd.Series) -> pd.DataFrame:
+            x = np.stack(column).astype(float)
+            near = x @ centroids.T / np.linalg.norm(x, axis=1, keepdims=True)
+            return pd.DataFrame({"cell": near.argmax(axis=1).astype(np.int32), "angle": np.arccos(np.clip(near.max(axis=1), -1, 1))})
 
-        self.table = vectors.where(F.exists("embedding", lambda x: x != 0)).withColumn("cell", F.pandas_udf(cell, "int")("embedding"))
+        held = vectors.where(F.exists("embedding", lambda x: x != 0))
+        self.table = held.withColumn("home", F.pandas_udf(cell, "cell int, angle double")("embedding")).withColumns({"cell": F.col("home.cell"), "angle": F.col("home.angle")}).drop("home")
+        self.widest: dict[int, float] = {}
 
     def search(self, query: Sequence[float], k: int = 10, probes: int = 16) -> DataFrame:
-        order = np.argsort(-(self.centroids @ np.asarray(query, float)))[:probes]
-        return search(self.table.where(F.col("cell").isin(*order.tolist())), query, k)
+        q = np.asarray(query, float)
+        near = self.centroids @ q / max(np.linalg.norm(q), 1e-12)
+        probed = np.argsort(-near)[:probes].tolist()
+        best = search(self.table.where(F.col("cell").isin(*probed)), query, k).collect()
+        least = best[-1]["score"] if best and len(best) == k else -np.inf
+        self.widest = self.widest or {r["cell"]: r["angle"] for r in self.table.groupBy("cell").agg(F.max("angle").alias("angle")).collect()}
+        angle = np.arccos(np.clip(near, -1, 1))
+        open_ = [c for c, widest in self.widest.items() if np.cos(max(0.0, angle[c] - widest)) >= least - 1e-6]
+        return search(self.table.where(F.col("cell").isin(*probed, *open_)), query, k)
 
 
 class IndexRegistry:

@@ -195,6 +195,17 @@ def test_cell_index_recall(spark):
     table.unpersist()
 
 
+def test_cell_index_with_registered_parameters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-1, 1, (2000, 64)).astype(np.float32)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    index = V.CellIndex(data)
+    index.table = index.table.cache()
+    for q in rng.uniform(-1, 1, (6, 64)):
+        assert values(index.search(q.tolist(), 10), "id") == values(V.search(data, q.tolist(), 10), "id")
+    index.table.unpersist()
+
+
 def test_sorted_sets(spark):
     data = rows(spark, [("z", "c", 3.0), ("z", "a", 1.0), ("z", "b", 2.0)], "key string, member string, score double")
     assert values(Z.by_index(data, "z", 0, -1), "member") == ["a", "b", "c"]
