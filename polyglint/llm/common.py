@@ -14,6 +14,9 @@ _FALLBACK = os.path.join(tempfile.gettempdir(), f"polyglint-{os.getpid()}")
 #: Words that one worker's memo holds (some 200 bytes each) before it starts afresh.
 MEMO_ENTRIES = 1_000_000
 
+#: Rows that a broadcast side may have (some 20 MB of two or three numbers each); larger sides are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a regular expression for the JVM and for DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of few narrow columns, marked for broadcast if it has been counted and has at most `rows` rows; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def crc32_mod(column: Column | str, modulus: int) -> Column:
     """crc32 of an integer id's decimal text, modulo `modulus`; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")), F.lit(modulus))

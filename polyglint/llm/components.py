@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components still changed after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def local_links(near: np.ndarray) -> np.ndarray:
+    """The first member of each row's component in a symmetric boolean matrix."""
+    root = np.full(len(near), -1)
+    for i in range(len(near)):
+        if root[i] < 0:
+            found = front = near[i] & (root < 0)
+            found[i] = True
+            while front.any():
+                front = near[front].any(axis=0) & (root < 0) & ~found
+                found = found | front
+            root[found] = i
+    return root

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyglint.llm.common import written
-from polyglint.llm.components import connected_components
+from polyglint.llm.components import connected_components, local_links
 
 MIN_COSINE = 0.98
 #: Vectors that one pivot should stand for; pivots of one group, and of all groups, at most (the latter bounds the broadcast).
@@ -80,20 +80,6 @@ def _cells(nodes: DataFrame, spark: SparkSession, min_cosine: float) -> DataFram
     return nodes.select("label", "vector", "node", "n").mapInPandas(placed, "cell string, home boolean, node string, n long, unit binary")
 
 
-def local_links(near: np.ndarray) -> np.ndarray:
-    """The first member of each row's component in a symmetric boolean matrix."""
-    root = np.full(len(near), -1)
-    for i in range(len(near)):
-        if root[i] < 0:
-            found = front = near[i] & (root < 0)
-            found[i] = True
-            while front.any():
-                front = near[front].any(axis=0) & (root < 0) & ~found
-                found = found | front
-            root[found] = i
-    return root
-
-
 def _compare(part: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     """Links among the rows of two blocks of a cell: how many each home row has, and a spanning star of each local component."""
     part = part.sort_values("node", kind="stable")

@@ -1,4 +1,4 @@
-"""Groups of texts by exact Jaccard similarity of their word shingles: a prefix-filtered set join."""
+"""Groups of texts by exact Jaccard similarity of their word shingles: SimHash proposes, a prefix-filtered set join completes."""
 
 from __future__ import annotations
 
@@ -10,16 +10,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import fresh, written
-from polyglint.llm.components import connected_components
-from polyglint.llm.simhash import CHUNK, SEED
+from polyglint.llm.common import MEMO_ENTRIES, bounded, fresh, written
+from polyglint.llm.components import connected_components, local_links
+from polyglint.llm.simhash import CHUNK, SEED, near_links
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted to find common ones, how many of them make a shingle common, and how many of those are noted.
 #: These only decide in which order shingles are looked at; every order finds the same pairs.
 SAMPLE, COMMON, NOTED = 8_000, 3, 200_000
-#: Leaders by which the texts of one shingle are linked first.
-LEADERS = 8
+#: Orders of the nodes, by which a shingle's leader is chosen; a text then has so many leaders in a large group.
+LEADERS = 2
+#: Texts of one shingle that are compared by blocks instead of pairs, texts of a block, and shingles that are looked at together.
+CROWD, BLOCK, COLUMNS = 256, 512, 4_096
+#: Nodes that one task remembers, to send a text that it meets again only once.
+SEEN = 1_000_000
+_ODD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+class _WordHashes(dict):
+    """XXH64 of a word, computed once as long as it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_WORDS = _WordHashes()
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _A
+    x = (x ^ (x >> np.uint64(27))) * _B
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -27,13 +49,27 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     split = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not split:
         return np.empty(0, np.int64)
-    total = max(1, len(split) - words + 1)
-    found = []
-    for at in range(0, total, CHUNK):
-        part = split[at : min(at + CHUNK, total) + words - 1]
-        grams = zip(*(part[k:] for k in range(words)), strict=False) if len(split) >= words else [split]
-        found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in map(b" ".join, grams)), np.uint64).view(np.int64)))
-    return np.unique(np.concatenate(found))
+    if len(_WORDS) > MEMO_ENTRIES:
+        _WORDS.clear()
+    width, found = min(words, len(split)), []
+    total = len(split) - width + 1
+    with np.errstate(over="ignore"):
+        for at in range(0, total, CHUNK):
+            part = split[at : min(at + CHUNK, total) + width - 1]
+            hashes = np.fromiter(map(_WORDS.__getitem__, part), np.uint64, len(part))
+            sums = np.full(len(part) - width + 1, width, np.uint64)
+            for k in range(width):
+                sums = sums * _ODD + hashes[k : k + len(sums)]
+            found.append(np.unique(_scrambled(sums).view(np.int64)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of distinct shingles, as a signed number: a bit is 1 if more than half of the hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -46,6 +82,27 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarit
     return hashes[np.lexsort((hashes, rarity))[:length]]
 
 
+def _needed(a: Column, b: Column, similarity: float) -> Column:
+    """What two sets of these sizes must share."""
+    return similarity / (1 + similarity) * (a + b) - 1e-6
+
+
+def _may_link(size_a: Column, place_a: Column, size_b: Column, place_b: Column, similarity: float) -> Column:
+    """Whether two sets may be similar enough whose first common shingle stands at these places; of those that are, the first common one passes."""
+    return F.least(size_a - place_a, size_b - place_b) >= _needed(size_a, size_b, similarity)
+
+
+def _held(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text_key, size, keys) of these nodes, one row each."""
+    return written(prints.where("size(keys) > 0").join(bounded(nodes), "node").groupBy("node").agg(F.min_by(F.struct("text_key", "size", "keys"), "text_key").alias("s")).select("node", "s.*"), "held")
+
+
+def _sets(held: DataFrame, texts: DataFrame, hashed: Callable[..., Column]) -> DataFrame:
+    """(node, hashes) of the held nodes, from their texts."""
+    wanted = bounded(written(held.select("node", "text_key"), "wanted"))
+    return written(texts.join(wanted, "text_key").groupBy("node").agg(F.min("text").alias("text")).select("node", hashed("text").alias("hashes")), "sets")
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, hashed: Callable[..., Column], similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity.
 
@@ -62,78 +119,155 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, hashed: Call
         return of
 
     pairs = written(pairs, "pairs")
-    held = written(prints.join(ends(pairs), "node").groupBy("node").agg(F.min_by(F.struct("text_key", "size", "keys"), "text_key").alias("s")).select("node", "s.*"), "held")
+    if pairs.isEmpty():
+        return pairs
+    held = _held(prints, ends(pairs))
     rest = F.greatest(*(F.col("size" + k) - F.size("keys" + k) for k in "ab"))
-    needed = similarity / (1 + similarity) * (F.col("sizea") + F.col("sizeb")) - 1e-6
-    pairs = written(both(pairs, held, "size", "keys").where(F.size(F.array_intersect("keysa", "keysb")) + rest >= needed).select("a", "b"), "pairs")
-    wanted = written(held.join(ends(pairs), "node").select("node", "text_key"), "wanted")
-    sets = written(texts.join(wanted, "text_key").groupBy("node").agg(F.min("text").alias("text")).select("node", hashed("text").alias("hashes")), "sets")
+    pairs = written(both(pairs, held, "size", "keys").where(F.size(F.array_intersect("keysa", "keysb")) + rest >= _needed(F.col("sizea"), F.col("sizeb"), similarity)).select("a", "b"), "pairs")
+    sets = _sets(held.join(ends(pairs), "node"), texts, hashed)
     shared = F.size(F.array_intersect("hashesa", "hashesb"))
     return both(pairs, sets, "hashes").where(shared >= similarity * (F.size("hashesa") + F.size("hashesb") - shared) - 1e-9).select("a", "b")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, use = np.repeat(np.arange(len(sets)), lengths), times[column] > 1
+    row, column = row[use], (np.cumsum(times > 1) - 1)[column[use]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, lengths)
+    return out
+
+
+def _crowded(crowds: DataFrame, prints: DataFrame, texts: DataFrame, hashed: Callable[..., Column], similarity: float) -> DataFrame:
+    """Links (a, b) that connect the similar nodes of each crowd (node, component).
+
+    A crowd is cut into blocks, each two blocks are one task, and a task returns a spanning star of what it connects
+    instead of pairs; so the rows are as many as the nodes times the blocks.
+    """
+
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", kind="stable")
+        sets, node = [np.asarray(h, np.int64) for h in part["hashes"]], part["node"].to_numpy()
+        size, shared = np.array([len(h) for h in sets]), shared_counts(sets)
+        near = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+        root = node[local_links(near)]
+        return pd.DataFrame({"a": root, "b": node})[root != node]
+
+    members = crowds.select("node", F.col("component").alias("crowd"))
+    sets = _sets(_held(prints, written(members.select("node"), "members")), texts, hashed)
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
+    dealt = dealt.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "hashes")
+    return dealt.groupBy("crowd", "i", "j").applyInPandas(compared, "a long, b long")
+
+
+def _proposed(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash holds for near copies: the least node of each fingerprint with the others, and with that of each fingerprint that its multi-index finds."""
+    nodes = prints.where("size(keys) > 0").select("fp", "node").distinct()
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    alike = nodes.join(firsts, "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = near_links(firsts.select("fp"))
+    for k in "ab":
+        links = links.join(firsts.select(F.col("fp").alias(k), F.col("first").alias("first" + k)), k)
+    return alike.union(links.select(F.least("firsta", "firstb").alias("a"), F.greatest("firsta", "firstb").alias("b")))
+
+
 def text_groups(docs: DataFrame, text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(text_key, component): each distinct text by xxhash64 and the group that it reaches over pairs of at least this similarity.
 
-    Texts with equal shingles are one node; null and blank texts have none and are one node too. A pair that is similar enough
-    shares one of the first shingles of both, so texts meet there on an equality key, and every pair counts by its exact
-    similarity. The texts of a shingle are compared with a few leaders first; after that, only texts whose groups are still apart
-    are compared with each other, so a large group of near copies does not cost its square.
+    Texts with equal shingles are one node; null and blank texts have none and are one node too. A text's SimHash over its
+    shingles proposes pairs by multi-index hashing, but at this similarity fingerprints differ in about ten bits, so most pairs are
+    found by a set join: a pair that is similar enough shares one of the first shingles of both, so texts meet there on an equality
+    key. Every proposed pair counts by its exact similarity. The texts of a shingle are compared with a leader first; after
+    that, only texts whose groups are still apart are compared with each other, so a large group of near copies does not
+    cost its square. Sets too small for two different ones to be similar enough are in no pair.
     """
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     total = texts.count()
     if not total:
         return docs.sparkSession.createDataFrame([], "text_key long, component long")
 
-    def hashed(column: pd.Series) -> pd.Series:
+    def listed(column: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, shingle_words) for t in column], dtype=object)
 
-    hashed = F.pandas_udf(hashed, "array<long>")
+    hashed = F.pandas_udf(listed, "array<long>")
     share = int(min(1.0, SAMPLE / total) * 1_000_003)
     drawn = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(1_000_003)) <= share).select(F.explode(hashed("text")).alias("key"))
     often = drawn.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "key").limit(NOTED).toPandas().sort_values("key")
     sent = docs.sparkSession.sparkContext.broadcast((often["key"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 31
 
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common, counts = sent.value
+        seen: set[int] = set()
         for column in batches:
-            sets = [shingles(t, shingle_words) for t in column]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "size": [len(s) for s in sets], "keys": [prefix(s, common, counts, similarity) for s in sets]})
-
-    prints = written(texts.select("text_key", F.pandas_udf(sketched, "node long, size int, keys array<long>")("text").alias("s")).select("text_key", "s.*"), "sketches")
-    postings = prints.select(F.explode("keys").alias("key"), "node", "size").repartition("key")
-    shared = postings.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    met = written(postings.join(shared, "key", "left_semi").distinct(), "postings")
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-
-    # Each text with the leader of each of its shingles.
-    turn = F.pmod("key", F.lit(LEADERS))
-    leaders = met.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.struct(F.xxhash64("node", turn), "node")).alias("leader"))
-    led = met.join(leaders, "key").where(F.col("node") != F.col("leader.node")).where(fits(F.col("size"), F.col("leader.size")))
-    led = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-    led = written(led, "led")
-    links = written(_similar(led, prints, texts, hashed, similarity), "links")
-    as_edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    parts = written(connected_components(as_edges(links)), "parts")
-
-    # Then the texts of a shingle whose groups are still apart.
-    placed = met.join(parts, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
-    placed = written(placed.join(apart, "key", "left_semi"), "apart")
-    left, right = (placed.select("key", *(F.col(c).alias(c + k) for c in ("node", "size", "part"))) for k in "12")
-    crossed = left.join(right, "key").where("part1 < part2").where(fits(F.col("size1"), F.col("size2"))).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    more = written(_similar(crossed.join(led, ["a", "b"], "left_anti"), prints, texts, hashed, similarity), "links")
-    ends = connected_components(as_edges(links.union(more)))
-    return prints.join(ends, "node", "left").select("text_key", F.coalesce("component", "node").alias("component")).distinct()
+            rows = []
+            for text in column:
+                own = shingles(text, shingle_words)
+                node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+                known = len(own) < least or node in seen
+                if not known and len(seen) < SEEN:
+                    seen.add(node)
+                rows.append((node, len(own), 0 if known else fingerprint(own), own[:0] if known else prefix(own, common, counts, similarity)))
+            yield pd.DataFrame(rows, columns=["node", "size", "fp", "keys"])
+
+    prints = written(texts.select("text_key", F.pandas_udf(sketched, "node long, size int, fp long, keys array<long>")("text").alias("s")).select("text_key", "s.*"), "sketches")
+    postings = prints.select(F.posexplode("keys").alias("place", "key"), "node", "size")
+    turn = F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("turn")
+    leaders = postings.groupBy("key").agg(F.min(F.struct(turn, "node", "size", "place")).alias("leader"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "leader")
+    met = written(postings.join(written(leaders, "leaders"), "key"), "postings")
+
+    # Each text with what SimHash proposes and with the leader of each of its shingles.
+    def beside(rows: DataFrame) -> DataFrame:
+        found = rows.where(_may_link(*map(F.col, ("size", "place", "leader.size", "leader.place")), similarity))
+        return found.select(F.least("leader.node", "node").alias("a"), F.greatest("leader.node", "node").alias("b"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        return written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+
+    compared = written(beside(met.where("node != leader.node")).union(_proposed(prints)).distinct(), "compared")
+    links = written(_similar(compared, prints, texts, hashed, similarity), "links")
+
+    # Then the texts of a shingle whose groups are still apart, with each other: few by pairs, many by blocks.
+    placed = met.join(joined(links), "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("part"))
+    apart = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("least < most")
+    placed = written(placed.join(apart.select("key", "n", "first"), "key"), "apart")
+    left, right = (placed.where(F.col("n") < CROWD).select("key", *(F.col(c).alias(c + k) for c in ("node", "size", "place", "part"))) for k in "12")
+    crossed = left.join(right, "key").where("part1 < part2").where(_may_link(*map(F.col, ("size1", "place1", "size2", "place2")), similarity)).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    more = written(_similar(crossed.join(compared, ["a", "b"], "left_anti"), prints, texts, hashed, similarity), "links")
+    crowds = written(placed.where(F.col("n") >= CROWD).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "crowds")
+    if not crowds.isEmpty():
+        more = more.union(written(_crowded(joined(crowds), prints, texts, hashed, similarity), "links"))
+    ends = joined(links.union(more))
+    return prints.select("text_key", "node").distinct().join(ends, "node", "left").select("text_key", F.coalesce("component", "node").alias("component"))
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The row with the least id of each group of near copies; of equal ids that of the least text hash, and a null id only where the group has no other."""
-    key = fresh(docs, "text_key")
+    """The row with the least id of each group of near copies; of equal ids that of the least text hash, and a null id only where the group has no other.
+
+    Of rows alike in id and text one stays. Texts stay where they are: only the marks of rows that go meet them, and those are
+    broadcast only while they are few.
+    """
+    key, own, again = (fresh(docs, n) for n in ("text_key", "marked_id", "again"))
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    groups = text_groups(docs, text_col, shingle_words, similarity)
-    ids = keyed.groupBy(F.col(key).alias("text_key")).agg(F.min(id_col).alias("id"))
-    firsts = ids.join(groups, "text_key").groupBy("component").agg(F.min_by(F.struct("id", "text_key"), F.struct(F.col("id").isNull(), "id", "text_key")).alias("first"))
-    firsts = written(firsts.select("first.*"), "firsts").select(F.col("id").alias(own := fresh(keyed, "first_id")), F.col("text_key").alias(key))
-    return keyed.join(firsts, key).where(F.col(id_col).eqNullSafe(F.col(own))).dropDuplicates([key]).select(docs.columns)
+    groups = written(text_groups(docs, text_col, shingle_words, similarity), "groups")
+    rows = keyed.groupBy(F.col(key).alias("text_key"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).join(groups, "text_key")
+    rows = written(rows, "rows")
+    firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
+    marks = written(rows.join(firsts, "component").where(~stays | (F.col("n") > 1)).select(F.col("text_key").alias(key), F.col("id").alias(own), stays.alias(again)), "marks")
+    found = keyed.join(bounded(marks).withColumnRenamed(key, key + "_"), (F.col(key) == F.col(key + "_")) & F.col(id_col).eqNullSafe(F.col(own)), "left")
+    kept = found.where(F.col(again).isNull()).select(docs.columns)
+    if marks.where(again).isEmpty():
+        return kept
+    return kept.union(found.where(again).dropDuplicates([key]).select(docs.columns))

@@ -8,9 +8,8 @@ import corpus_pipeline
 import pytest
 import sentencepiece
 
-from polyglint.llm import quality
+from polyglint.llm import near_copies, quality
 from polyglint.llm.queries import QUERIES, tokenizer_path
-from polyglint.llm.simhash import simhash
 from polyglint.runtime import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -57,18 +56,6 @@ def test_line_stage_only_takes_lines_away(stages):
         assert r["n_chars"] == len(r["text"])
 
 
-def test_near_copies_keep_the_first_of_each_group(stages):
-    rows = sorted(stages[2], key=lambda r: r["doc_id"])
-    prints = [simhash(r["text"]) for r in rows]
-    part = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = part[i], part[j]
-                part = [min(a, b) if p in (a, b) else p for p in part]
-    assert sorted(r["doc_id"] for r in stages[3]) == [rows[i]["doc_id"] for i in range(len(rows)) if part[i] == i]
-
-
 def test_mix_repeats_whole_documents(stages):
     before = {r["doc_id"]: r for r in stages[3]}
     counts = Counter(r["doc_id"] for r in stages[4])
@@ -129,7 +116,8 @@ def plain_firsts(rows):
     return {p: min(order(r) for r, q in zip(rows, part, strict=True) if q == p) for p in set(part)}
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [2, 1_000])
+def test_near_copies_against_brute_force(spark, monkeypatch, bound):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -145,6 +133,8 @@ def test_near_copies_against_brute_force(spark):
     rng.shuffle(rows)
     rows = [(None if i % 5 == 0 else i // 2, r[0], "en", "a", 1) for i, r in enumerate(rows)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(near_copies, "CROWD", bound)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
     out = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
     expected = plain_firsts(docs.collect())
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == Counter(expected.values())
