@@ -128,25 +128,29 @@ p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.y FROM r JOIN p ON p.x = r.b),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
-SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = a LEFT JOIN n ON vec_id = x
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM embeddings LEFT JOIN c ON vec_id = a LEFT JOIN n ON vec_id = x
 """
 
 _OP4 = r"""
-WITH u AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS line FROM u),
+WITH u AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS row FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT row, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS line FROM u),
 m AS (SELECT *, trim(regexp_replace(regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g'), ' +', ' ', 'g'), ' ') AS form FROM l),
-f AS (SELECT *, (len(form) - len(replace(form, ' ', '')) + 1) || ' ' || split_part(form, ' ', 1) || ' ' || split_part(form, ' ', 2) AS leaf FROM m WHERE len(form) - len(replace(form, ' ', '')) + 1 >= 3),
-h AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT (doc_id, text)) >= 10)),
-o AS (SELECT leaf, form, count(DISTINCT (doc_id, text)) AS n FROM h GROUP BY leaf, form),
-t AS (SELECT leaf, form, n, generate_subscripts(string_split(form, ' '), 1) AS place, unnest(string_split(form, ' ')) AS token FROM o),
-k AS (SELECT leaf, place, token FROM t WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(n) >= 10),
-s AS (SELECT t.leaf, t.form, string_agg(coalesce(k.token, '<*>'), ' ' ORDER BY t.place) AS shape FROM t LEFT JOIN k ON t.leaf = k.leaf AND t.place = k.place AND t.token = k.token GROUP BY t.leaf, t.form HAVING count(k.token) >= 0.5 * count(*)),
-g AS (SELECT h.doc_id, h.text, h.no, h.leaf || '|' || shape AS template FROM h JOIN s ON h.leaf = s.leaf AND h.form = s.form),
-r AS (SELECT template, arg_min(no, (doc_id, no)) AS no, min(doc_id) AS doc_id FROM g GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 10),
-x AS (SELECT DISTINCT g.doc_id, g.text, g.no FROM g JOIN r ON g.template = r.template WHERE (g.doc_id, g.no) <> (r.doc_id, r.no)),
-y AS (SELECT l.doc_id, l.text, string_agg(CASE WHEN x.no IS NULL THEN l.line END, chr(10) ORDER BY l.no) AS kept, count(x.no) AS n_dropped FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.text = x.text AND l.no = x.no GROUP BY l.doc_id, l.text)
+f AS (SELECT *, len(form) - len(replace(form, ' ', '')) + 1 AS k, (len(form) - len(replace(form, '<*>', ''))) / 3 AS v FROM m WHERE len(form) - len(replace(form, ' ', '')) + 1 >= 3),
+e AS (SELECT *, k || ' ' || split_part(form, ' ', 1) || ' ' || split_part(form, ' ', 2) AS leaf FROM f),
+h AS (SELECT * FROM e WHERE leaf IN (SELECT leaf FROM e GROUP BY leaf HAVING count(DISTINCT row) >= 10)),
+o AS (SELECT leaf, form, k, count(DISTINCT row) AS n FROM h GROUP BY leaf, form, k),
+t AS (SELECT leaf, form, k, n, generate_subscripts(string_split(form, ' '), 1) AS place, unnest(string_split(form, ' ')) AS token FROM o),
+c AS (SELECT leaf, place, token FROM t WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(n) >= 10),
+s AS (SELECT t.leaf, t.form, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.place) AS shape FROM t LEFT JOIN c ON t.leaf = c.leaf AND t.place = c.place AND t.token = c.token GROUP BY t.leaf, t.form, t.k
+    HAVING count(c.token) >= 0.5 * count(*) AND (count(*) FILTER (WHERE c.token IS NULL AND t.token <> '<*>') = 0 OR count(c.token) FILTER (WHERE t.place > 2) >= greatest(least(t.k - 2, 2), ceil((t.k - 2) * 0.5)))),
+g AS (SELECT h.row, h.no, h.form, h.leaf || '|' || shape AS template FROM h JOIN s ON h.leaf = s.leaf AND h.form = s.form),
+r AS (SELECT template, min((row, no)) AS first FROM g GROUP BY template HAVING count(DISTINCT row) >= 10),
+a AS (SELECT row, no, form FROM e WHERE k >= 10 AND v <= k * 0.5 AND form NOT IN (SELECT form FROM g JOIN r ON g.template = r.template)),
+b AS (SELECT form, min((row, no)) AS first FROM a GROUP BY form HAVING count(DISTINCT row) >= 2),
+x AS (SELECT DISTINCT row, no FROM (SELECT row, no, first FROM g JOIN r ON g.template = r.template UNION ALL SELECT row, no, first FROM a JOIN b ON a.form = b.form) WHERE (row, no) <> first),
+y AS (SELECT l.row, string_agg(CASE WHEN x.no IS NULL THEN l.line END, chr(10) ORDER BY l.no) AS kept, count(x.no) AS n_dropped FROM l LEFT JOIN x ON l.row = x.row AND l.no = x.no GROUP BY l.row)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INT AS n_lines, coalesce(n_dropped, 0)::INT AS n_dropped
-FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id AND d.text = y.text
+FROM documents d LEFT JOIN u ON d.doc_id IS NOT DISTINCT FROM u.doc_id AND d.text = u.text LEFT JOIN y ON u.row = y.row
 """
 
 ORACLES: dict[str, str] = {"op2_embedding_dedup": _OP2, "op3_mixing": _OP3, "op4_line_dedup": _OP4}
