@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import bm25, language_id, quality, toxicity
+from polyglint.llm import bm25, language_id, mixing, quality, toxicity
 from polyglint.llm.common import crc32_mod
 from polyglint.llm.embedding_dedup import near_vectors
 from polyglint.llm.line_dedup import drop_recurring_lines
@@ -103,7 +103,7 @@ QUERIES = {
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw FROM documents),
+        ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 r AS (SELECT *, 2 * source_size AS cap, 2 * source_size / weight::DOUBLE AS ratio FROM w),
@@ -113,14 +113,22 @@ f AS (SELECT arg_min(level, ratio) FILTER (WHERE ratio > level) AS final FROM l)
 t AS (SELECT source, source_size, least(least(ratio, coalesce(final, ratio)) * weight, cap::DOUBLE) AS target FROM l, f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 q AS (SELECT *, greatest(0::DOUBLE, target - whole * source_size) AS part FROM p),
-x AS (SELECT d.*, source_size, target, whole, part, sum(size) OVER (PARTITION BY d.source ORDER BY draw) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-y AS (SELECT *, part - max(CASE WHEN upto <= part THEN upto ELSE 0 END) OVER (PARTITION BY source) AS missing FROM x),
-g AS (SELECT source, draw, missing, sum(size) AS gain FROM y WHERE upto > part AND size > 0 GROUP BY source, draw, missing HAVING gain < 2 * missing),
+s0 AS (SELECT source, -1::BIGINT AS edge, part AS missing FROM q),
+@TURNS
+t9 AS (SELECT d.*, s.missing, coalesce(@TAKEN, false) AS taken FROM d JOIN s4 s ON d.source IS NOT DISTINCT FROM s.source
+    JOIN s0 ON d.source IS NOT DISTINCT FROM s0.source JOIN s1 ON d.source IS NOT DISTINCT FROM s1.source JOIN s2 ON d.source IS NOT DISTINCT FROM s2.source JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source),
+g AS (SELECT source, draw, missing, sum(size) AS gain FROM t9 WHERE NOT taken AND size > 0 AND size < 2 * missing GROUP BY source, draw, missing HAVING gain < 2 * missing),
 n AS (SELECT source, arg_min(draw, (abs(gain - missing), draw)) AS near FROM g GROUP BY source)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN upto <= part OR coalesce(draw = near, false) THEN 1 ELSE 0 END) AS taken
-FROM y LEFT JOIN n ON y.source IS NOT DISTINCT FROM n.source
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken OR coalesce(draw = near AND size > 0 AND size < 2 * missing, false) THEN 1 ELSE 0 END) AS taken
+FROM t9 JOIN q ON t9.source IS NOT DISTINCT FROM q.source LEFT JOIN n ON t9.source IS NOT DISTINCT FROM n.source
 """
 
+_TURN = """
+x{0} AS (SELECT d.source, draw, edge, missing, sum(size) OVER (PARTITION BY d.source ORDER BY draw) AS upto FROM d JOIN s{0} s ON d.source IS NOT DISTINCT FROM s.source WHERE draw > edge AND size <= missing),
+s{1} AS (SELECT s.source, CASE WHEN max(upto) > max(s.missing) THEN coalesce(max(draw) FILTER (WHERE upto <= x.missing), max(s.edge)) ELSE 1152921504606846975 END AS edge,
+    max(s.missing) - coalesce(max(upto) FILTER (WHERE upto <= x.missing), 0) AS missing FROM s{0} s LEFT JOIN x{0} x ON s.source IS NOT DISTINCT FROM x.source GROUP BY s.source),"""
+_OP3 = _OP3.replace("@TURNS", "".join(_TURN.format(k, k + 1) for k in range(mixing.TURNS)).strip()).replace("@TAKEN", " OR ".join(f"(draw > s{k}.edge AND draw <= s{k + 1 if k < 3 else ''}.edge AND size <= s{k}.missing)" for k in range(mixing.TURNS)))
+
 _OP2 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len([x for x in embedding if isfinite(x)]) AND len([x for x in embedding if x <> 0]) > 0),
