@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglint.llm.words import VectorMemo
+from polyglint.llm.words import VectorMemo, blocks
 
 ORDER = 5
-#: Bounds of the training sample: documents of each language, and characters of a document that may be in it.
-TRAIN_DOCS, TRAIN_CHARS = 1_000, 50_000
+#: Bound of the training sample: documents of each language, whole texts of any length.
+TRAIN_DOCS = 1_000
 UNKNOWN = "und"
 
 
@@ -23,7 +23,8 @@ class PartialMatching:
     """Frozen statistics of one variable-order context tree of bytes for each language.
 
     Words (lower-cased, between white space) are coded byte by byte, then their end. The context of a byte is the
-    word's start and up to `order` bytes of the word before it; it never leaves the word. In a context seen n times with d different
+    word's start and up to `order` bytes of the word before it; it never leaves the word, so that a word's code length is computed once
+    (which loses what a language's word order says). In a context seen n times with d different
     successors, a successor seen c times has probability c / (n + d), and the escape to the context one byte shorter d / (n + d);
     an unseen context costs nothing, and below the empty one all 256 bytes are alike.
     """
@@ -86,18 +87,26 @@ class PartialMatching:
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS) -> PartialMatching:
-    """Statistics of at most `train_docs` whole documents of each language, drawn by a hash from the rows where `learn` holds."""
+    """Statistics of at most `train_docs` whole documents of each language, drawn by a hash from the rows where `learn` holds.
+
+    Words are counted on the executors; the driver gets the distinct words of the sample and how often each language has them.
+    Equal texts are drawn together as far as the bound allows, and count as often as they are drawn; ties change nothing, as they are alike.
+    """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    fit = rows.where(F.length("text") <= TRAIN_CHARS)
-    sizes = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return PartialMatching([], [])
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * train_docs / n))))
-    drawn = fit.withColumn("u", F.xxhash64("text")).where(F.pmod("u", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * train_docs / n + 30 / n))))
+    drawn = rows.withColumn("u", F.xxhash64("text")).where(F.pmod("u", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("k") <= train_docs)
+
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([[word for block in blocks(t) for word in words_of(block)] for t in texts], dtype=object)
+
     counts: dict[str, Counter] = {lang: Counter() for lang in sorted(sizes)}
-    for row in drawn.select("lang", "text").toLocalIterator():
-        counts[row["lang"]].update(words_of(row["text"]))
+    words = drawn.select("lang", F.explode(F.pandas_udf(split, "array<string>")("text")).alias("word")).groupBy("lang", "word").count()
+    for row in words.toLocalIterator():
+        counts[row["lang"]][row["word"]] = row["count"]
     return PartialMatching([*counts], [*counts.values()], order)
 
 
