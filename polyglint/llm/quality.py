@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
@@ -11,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyglint.llm.common import MEMO_ENTRIES
 from polyglint.llm.words import blocks
 
 #: Bounds of the sample that models are fitted on: labelled rows, and unlabelled ones that get pseudo-labels.
@@ -24,12 +27,22 @@ _CLASSES = [range(65, 91), range(97, 123), range(48, 58), range(128, 256), [33],
 _OF_CLASS = np.zeros((256, len(_CLASSES)))
 for _k, _bytes in enumerate(_CLASSES):
     _OF_CLASS[list(_bytes), _k] = 1.0
-CONTENT = len(_CLASSES) + 5
+#: Buckets of the words' hashes, whose shares are facts of the text.
+WORD_BUCKETS = 96
+RATIOS = len(_CLASSES) + 4
+CONTENT = RATIOS + WORD_BUCKETS
+#: Values of a metadata column with an indicator of their own (the most frequent of the sample, ties by name), and buckets that the others share by a hash.
+LEVELS, SHARED = 200, 32
 
 
 def content(text: str | None) -> np.ndarray:
-    """Facts of a whole text: shares of byte classes, word length, richness of its vocabulary, repeats side by side, size."""
-    bytes_, n, letters, repeats, kinds, last = np.zeros(256), 0, 0, 0, set(), None
+    """Facts of a whole text: shares of byte classes, word length, richness of its vocabulary, repeats side by side, shares of word buckets.
+
+    The size is left to the metadata view.
+    """
+    bytes_, n, letters, repeats, kinds, last, hashed = np.zeros(256), 0, 0, 0, set(), None, np.zeros(WORD_BUCKETS)
+    if len(_BUCKETS) > MEMO_ENTRIES:
+        _BUCKETS.clear()
     for block in blocks(text or ""):
         words = block.split()
         bytes_ += np.bincount(np.frombuffer(block.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
@@ -37,10 +50,20 @@ def content(text: str | None) -> np.ndarray:
         letters += sum(map(len, words))
         repeats += sum(map(eq, words, words[1:])) + bool(words and words[0] == last)
         kinds.update(words)
+        hashed += np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS)
         last = words[-1] if words else last
     shares = np.log(bytes_ @ _OF_CLASS / max(bytes_.sum(), 1) + 1e-3)
-    more = [np.log1p(n), letters / max(n, 1), np.log(len(kinds) + 1) / np.log(n + 2), np.log(repeats / max(n, 1) + 1e-2), len(kinds) / max(n, 1)]
-    return np.concatenate([shares, more])
+    more = [letters / max(n, 1), np.log(len(kinds) + 1) / np.log(n + 2), np.log(repeats / max(n, 1) + 1e-2), len(kinds) / max(n, 1)]
+    return np.concatenate([shares, more, np.sqrt(hashed / max(n, 1))])
+
+
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        found = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+        return found
+
+
+_BUCKETS = _Buckets()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -63,9 +86,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 25) -> np.nd
 
 @dataclass
 class View:
-    """Standardised features with squares, a logistic regression and a calibration of its odds."""
+    """Standardised features, the first `squared` of them with squares, a logistic regression and a calibration of its odds."""
 
     l2: float
+    squared: int
     mean: np.ndarray = field(default=None)
     scale: np.ndarray = field(default=None)
     weights: np.ndarray = field(default=None)
@@ -73,7 +97,7 @@ class View:
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -5, 5)
-        return np.hstack([z, z**2, np.ones((len(x), 1))])
+        return np.hstack([z, z[:, : self.squared] ** 2, np.ones((len(x), 1))])
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         if self.mean is None:
@@ -99,7 +123,7 @@ class CoTraining:
         """rows: content, source, lang, n_chars, y, and held (True: for calibration); pool: the same without y."""
         y = rows["y"].to_numpy(float)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        self.levels = {c: {v: k for k, v in enumerate(sorted(rows[c].dropna().unique())[:200])} for c in ("source", "lang")}
+        self.levels = {c: {v: k for k, (v, _) in enumerate(sorted(Counter(rows[c].dropna()).items(), key=lambda x: (-x[1], x[0]))[:LEVELS])} for c in ("source", "lang")}
         self.fitted = 0 < y.sum() < len(y)
         if not self.fitted:
             return
@@ -107,7 +131,7 @@ class CoTraining:
         learned = ~held
         if min(y[held].sum(), (1 - y[held]).sum()) < FEW:  # too few for a calibration of their own: all rows serve both
             held = learned = np.ones(len(y), bool)
-        self.views = (View(1.0), View(5.0))
+        self.views = (View(1.0, RATIOS), View(5.0, 1))
         x, u = self.features(rows), self.features(pool)
         taught: list[dict[int, float]] = [{}, {}]
         for turn in range(rounds + 1):
@@ -130,8 +154,9 @@ class CoTraining:
         chars = pd.to_numeric(rows["n_chars"]).to_numpy(float, na_value=np.nan)
         parts = [np.where(np.isnan(chars), 0, np.log1p(np.maximum(np.nan_to_num(chars), 0)))[:, None], np.isnan(chars)[:, None].astype(float)]
         for column, levels in self.levels.items():
-            hot = np.zeros((len(rows), len(levels) + 1))
-            hot[np.arange(len(rows)), rows[column].map(levels).fillna(len(levels)).astype(int)] = 1
+            other = lambda v: 0 if v is None or v != v else 1 + zlib.crc32(str(v).encode("utf-8", "surrogatepass")) % SHARED
+            hot = np.zeros((len(rows), 1 + SHARED + len(levels)))
+            hot[np.arange(len(rows)), [1 + SHARED + levels[v] if v in levels else other(v) for v in rows[column]]] = 1
             parts.append(hot)
         return text, np.hstack(parts)
 
@@ -153,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     grid = 1_000_003
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     share = int(min(1.0, train_rows / max(known.count(), 1)) * grid)
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(grid)) <= share).limit(train_rows)
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(grid)) <= share).orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
     pool_share = int(min(1.0, pool_rows / max(docs.count(), 1)) * grid)
     mark = F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(grid))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "source", "lang", "n_chars").where("text is not null and id is not null")
@@ -167,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def score(docs: DataFrame, model: CoTraining, text_col: str = "text") -> DataFrame:
     """All columns of `docs` and a struct `quality`: p_content, p_metadata, score (0 to 1, higher: label 1 likelier).
 
-    Whole texts are read; null is as empty; sources and languages that were not learned are one level. Narrow: no shuffle.
+    Whole texts are read; null is as empty; sources and languages without an indicator of their own share 32 by a hash. Narrow: no shuffle.
     An input column named `quality` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
