@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import written
+from polyglint.llm.common import bounded, written
 from polyglint.llm.components import connected_components, local_links
 
 MIN_COSINE = 0.98
-#: Vectors that one pivot should stand for; pivots of one group, and of all groups, at most (the latter bounds the broadcast).
-PER_PIVOT, GROUP_PIVOTS, ALL_PIVOTS = 2_048, 16, 4_096
+#: Vectors that one pivot should stand for; pivots of all labels together at most, in proportion to their sizes (this bounds the
+#: broadcast). Beyond it cells grow and are cut into blocks. Vectors whose distances to the pivots are held at a time.
+PER_PIVOT, ALL_PIVOTS, AT_ONCE = 2_048, 4_096, 1_024
 #: Rows of a cell that one block holds; a task compares two blocks.
 BLOCK = 2_048
 
@@ -38,7 +39,7 @@ def _pivots(nodes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Unit pivots of each (label, dimension) that is large enough to have several; ALL_PIVOTS at most over all."""
     sizes = nodes.groupBy("label", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    share = sizes.withColumn("k", F.least(F.ceil(F.col("size") / PER_PIVOT), F.lit(GROUP_PIVOTS), F.floor(F.col("size") * ALL_PIVOTS / max(total, 1)))).where("k > 1")
+    share = sizes.withColumn("k", F.least(F.ceil(F.col("size") / PER_PIVOT), F.floor(F.col("size") * ALL_PIVOTS / max(total, 1)))).where("k > 1")
     drawn = nodes.withColumn("dim", F.size("vector")).join(F.broadcast(share), ["label", "dim"]).withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1_000_003)))
     drawn = drawn.where(F.col("u") * F.col("size") < F.col("k") * 8 * 1_000_003).withColumn("r", F.row_number().over(Window.partitionBy("label", "dim").orderBy("u", "node"))).where("r <= k")
     found: dict[tuple[str, int], list] = {}
@@ -73,9 +74,12 @@ def _cells(nodes: DataFrame, spark: SparkSession, min_cosine: float) -> DataFram
             batch = batch.assign(dim=batch["vector"].map(len))
             for (label, dim), part in batch.groupby(["label", "dim"], sort=False):
                 units, pivots = unit(part["vector"].tolist()), sent.value.get((label, dim))
-                home, reach = (np.zeros(len(part), int), np.ones((len(part), 1), bool)) if pivots is None else assign(units, pivots, radius)
-                row, cell = np.nonzero(reach)
-                yield pd.DataFrame({"cell": [f"{label}|{dim}|{c}" for c in cell], "home": home[row] == cell, "node": part["node"].to_numpy()[row], "n": part["n"].to_numpy()[row], "unit": [units[r].tobytes() for r in row]})
+                node, n = part["node"].to_numpy(), part["n"].to_numpy()
+                for at in range(0, len(units), AT_ONCE):
+                    own = units[at : at + AT_ONCE]
+                    home, reach = (np.zeros(len(own), int), np.ones((len(own), 1), bool)) if pivots is None else assign(own, pivots, radius)
+                    row, cell = np.nonzero(reach)
+                    yield pd.DataFrame({"cell": [f"{label}|{dim}|{c}" for c in cell], "home": home[row] == cell, "node": node[at + row], "n": n[at + row], "unit": [own[r].tobytes() for r in row]})
 
     return nodes.select("label", "vector", "node", "n").mapInPandas(placed, "cell string, home boolean, node string, n long, unit binary")
 
@@ -119,7 +123,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.join(counts, "node", "left").join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     placed = placed.select("node", "first_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    placed = written(placed, "placed")
+    named = bounded(written(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "named"))
     facts = placed.join(named, "component").select(F.col("node").alias("known"), "n_links", "component_id")
     out = rows.join(facts, rows.node == facts.known, "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
