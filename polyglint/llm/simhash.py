@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyglint.llm.common import written
+from polyglint.llm.common import bounded, written
 from polyglint.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_DISTANCE, SEED = 3, 2, 42
@@ -87,6 +87,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
     links = near_links(nodes.select("fp"), max_distance)
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
-    named = placed.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    placed = written(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part")), "placed")
+    named = bounded(written(placed.groupBy("part").agg(F.min("first_id").alias("component_id")), "named"))
     return prints.join(placed.join(named, "part").select("fp", "component_id"), "fp").select("id", "fp", "component_id")

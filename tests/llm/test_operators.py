@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from polyglint.llm import bm25, language_id, line_dedup, mixing, quality, simhash, token_store, toxicity
+from polyglint.llm import bm25, embedding_dedup, language_id, line_dedup, mixing, quality, simhash, token_store, toxicity
 from polyglint.llm.common import new_path
 from polyglint.llm.components import connected_components
 from polyglint.llm.embedding_dedup import near_vectors
@@ -132,6 +132,25 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_across_cells_and_blocks(spark, monkeypatch):
+    """Labels large enough for several pivots, cells large enough for several blocks, thousands of links; against all cosines."""
+    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 90)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(90, 12))
+    data = np.vstack([c + rng.normal(size=(k, 12)) * 0.1 for c, k in zip(centres, rng.integers(1, 25, 90), strict=True)])
+    label = rng.integers(0, 2, len(data))
+    df = spark.createDataFrame([(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(data, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    assert len(embedding_dedup._pivots(embedding_dedup._nodes(df, "vec_id", "embedding", "label"))) == 2
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.tril(near, -1)), strict=True)]
+    assert len(links) > 3_000
+    part = components(len(data), links)
+    got = sorted((r["id"], r["n_links"], r["component_id"]) for r in near_vectors(df).collect())
+    assert got == [(i, int(near[i].sum()) - 1, part[i]) for i in range(len(data))]
+
+
 def test_pivots_replicate_enough():
     from polyglint.llm.embedding_dedup import assign, unit
 
@@ -176,6 +195,15 @@ def test_mixing(spark, docs):
     assert {r["mix"]["copies"] for r in mixing.mixed(docs.where("text is null")).collect()} == {0}
 
 
+def test_mixing_passes_over_what_does_not_fit(spark):
+    """A long document that straddles the target, in any place of the order, leaves no gap."""
+    for seed in range(4):
+        rows = [(10_000 * seed + i, "w " * (1 + i % 50), "en", "a", 1) for i in range(800)] + [(10_000 * seed + 900, "w " * 9_000, "en", "a", 1), (1, "x " * 60_000, "en", "b", 1)]
+        out = mixing.mixed(spark.createDataFrame(rows, DOCS), weights=(1, 4), budget=0.6).where("source = 'a'").collect()
+        taken, target = sum(r["mix"]["size"] * r["mix"]["copies"] for r in out), out[0]["mix"]["target"]
+        assert 5_000 < target < 0.9 * out[0]["mix"]["source_size"] and abs(taken - target) <= 2
+
+
 def plain_line_dedup(rows, min_docs, same_docs):
     """The text that each row keeps, by the same rules, one line at a time."""
     order = lambda row: (row[0] is not None, row[0] or 0, row[1])
@@ -347,6 +375,14 @@ def test_language_id(spark):
     assert {r["language"]["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "der und sch ein über " * 16_000, "de", "a", 1) for i in range(8)] + [(100 + i, "the and tion wh ing", "en", "a", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(docs, F.lit(True))
+    assert model.langs == ["de", "en"]
+    assert all(r["language"]["lang_pred"] == r["lang"] for r in language_id.identify(docs, model).collect())
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
