@@ -413,11 +413,43 @@ def test_pairs_that_weights_miss():
         x, z = rng.random(2) < 0.5
         rows.append(np.array(sorted(([a] if x else []) + ([b] if z else []) + rng.choice(200, 3, replace=False).tolist()), np.int64))
         y.append(float(x and z))
-    model = toxicity.FactorizationMachine(rows, np.array(y))
+    model = toxicity.fitted(rows, np.array(y))
     scores = model.scores([model.column[np.array(r)] for r in ([a], [b], [a, b])])
     assert scores[2] > 0.9 and scores[0] < 0.2 and scores[1] < 0.2
 
 
+@pytest.mark.parametrize("noise", [0, 12])
+def test_pairs_of_terms_that_are_neutral_alone(noise):
+    """Label 1 if just one of two terms is there, and if an insult stands beside a group: no term has an effect of its own."""
+    rng = np.random.default_rng(14)
+    a, b = toxicity.bucket("insult"), toxicity.bucket("group")
+    spare = [toxicity.bucket(f"n{i}") for i in range(400)]
+    rows, y = [], []
+    for _ in range(8_000):
+        x, z = rng.random(2) < 0.5
+        rows.append(np.unique([*([a] if x else []), *([b] if z else []), *rng.choice(spare, noise, replace=False)]).astype(np.int64))
+        y.append(float(x != z))
+    model = toxicity.fitted(rows[:6_000], np.array(y[:6_000]))
+    known = [model.column[r] for r in rows[6_000:]]
+    right = (model.scores([c[c >= 0] for c in known]) >= 0.5) == (np.array(y[6_000:]) == 1)
+    assert right.mean() > 0.97
+
+
+def test_many_insults_and_groups_that_are_neutral_alone():
+    """60 insults, 60 groups: an insult beside a group is label 1, beside a plain word label 0, and a group beside a plain word too."""
+    rng = np.random.default_rng(15)
+    kinds = [[toxicity.bucket(f"{kind}{i}") for i in range(60)] for kind in ("insult", "group", "plain", "other")]
+    rows, y = [], []
+    for i in range(12_000):
+        first, second = rng.integers(0, 2, 2)
+        rows.append(np.unique([rng.choice(kinds[2 * first]), rng.choice(kinds[1 + 2 * second])]).astype(np.int64))
+        y.append(float(first == second))
+    model = toxicity.fitted(rows[:10_000], np.array(y[:10_000]))
+    known = [model.column[r] for r in rows[10_000:]]
+    right = (model.scores([c[c >= 0] for c in known]) >= 0.5) == (np.array(y[10_000:]) == 1)
+    assert right.mean() > 0.9
+
+
 def test_quality(spark):
     rng = np.random.default_rng(10)
     rows, labels = [], []
