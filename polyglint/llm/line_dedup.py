@@ -9,8 +9,8 @@ from polyglint.llm.common import fresh, written
 
 #: A template recurs if its lines are in so many documents; shorter lines are never dropped.
 MIN_DOCS, MIN_TOKENS = 10, 3
-#: A line of so many tokens recurs by itself if so many documents have it, alike but for tokens with a digit.
-LONG_TOKENS, SAME_DOCS = 10, 2
+#: A line of so many tokens recurs by itself if two documents have it, alike but for tokens with a digit.
+LONG_TOKENS = 10
 #: Leading tokens that lead to a leaf of the tree, below the token count.
 DEPTH = 2
 #: Share of a template's tokens that must be constant; of a template that makes one of different lines, the share and the number of
@@ -49,13 +49,7 @@ def _shapes(marked: DataFrame) -> DataFrame:
     return shapes.where(F.col("share") >= CONSTANT).where((F.col("merged") == 0) | (F.col("fixed") >= strict)).select("form", F.xxhash64("leaf", "shape").alias("template"))
 
 
-def _recurring(placed: DataFrame, template: str, min_docs: int) -> DataFrame:
-    """Templates in at least `min_docs` documents, with the first of their lines."""
-    once = placed.groupBy(template, "id", "row").agg(F.min("no").alias("no"))
-    return once.groupBy(template).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "no")).alias("first")).where(F.col("n") >= min_docs)
-
-
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, same_docs: int = SAME_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of `docs`, the text without recurring lines, and a struct `lines`: total and dropped.
 
     A line goes down a tree by its token count and its leading tokens; tokens with a digit are variable. In a leaf,
@@ -63,7 +57,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the line's template. A template of which at least half is constant and whose lines are in at least `min_docs` documents
     recurs; if it makes a token variable that has no digit, half of the tokens after the leading ones, two or all of them,
     must be constant as well. Any other line of LONG_TOKENS tokens or more, of which half have no digit, is a template of its own and
-    recurs in `same_docs` documents. All lines of a recurring template are dropped but the first (of the least id, null before
+    recurs if two documents have it. All lines of a recurring template are dropped but the first (of the least id, null before
     all), and the other lines stay in order.
 
     Lines that occur often are counted as forms, not compared with each other; only forms of leaves with enough documents are
@@ -72,20 +66,24 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     lines = _lines(docs, row, id_col, text_col)
-    slim = written(lines.select("row", "id", "no", "leaf", F.xxhash64("leaf", "form").alias("form"), "long"), "lines")
+    lines = written(lines.select("row", "id", "no", "leaf", F.xxhash64("leaf", "form").alias("form"), "long", F.col("form").alias("tokens")), "lines")
+    slim = lines.drop("tokens")
     leaves = written(slim.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     held = written(slim.join(leaves, "leaf", "left_semi"), "held")
     counts = held.select("form", "row").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     wanted = lines.join(leaves, "leaf", "left_semi")
-    forms = wanted.groupBy(F.xxhash64("leaf", "form").alias("form")).agg(F.first("leaf").alias("leaf"), F.first("form").alias("tokens"))
+    forms = wanted.groupBy("form").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     tokens = written(forms.join(counts, "form").select("form", "leaf", "n", F.posexplode(F.split("tokens", " ")).alias("place", "token")), "tokens")
     constant = tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant"))
     marked = tokens.join(constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(False)))
     placed = written(held.join(_shapes(marked), "form").select("template", "form", "id", "row", "no"), "placed")
-    recurring = placed.join(written(_recurring(placed, "template", min_docs), "recurring"), "template")
+    once = placed.groupBy("template", "id", "row").agg(F.min("no").alias("no"))
+    templates = once.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "no")).alias("first")).where(F.col("n") >= min_docs)
+    recurring = placed.join(written(templates, "recurring"), "template")
     settled = written(recurring.select("form").distinct(), "settled")
     alone = slim.where("long").join(settled, "form", "left_anti").select("form", "id", "row", "no")
-    same = alone.join(written(_recurring(alone, "form", same_docs), "same"), "form")
+    shared = alone.groupBy("form").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.min(F.struct("id", "row", "no")).alias("first")).where("least < most")
+    same = alone.join(written(shared.select("form", "first"), "same"), "form")
     lost = recurring.select("row", "no", "first").union(same.select("row", "no", "first"))
     gone = lost.where(F.struct("row", "no") != F.struct("first.row", "first.no")).groupBy("row").agg(F.collect_set("no").alias("gone"))
     own = fresh(docs, "gone")
