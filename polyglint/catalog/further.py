@@ -19,15 +19,16 @@ from polyglint.streaming import changes as C
 from polyglint.streaming.views import Views
 
 
-@query("j6_distributed_execute", "SELECT key, arg_min(value, shard) AS value FROM (SELECT l_partkey AS key, l_orderkey // 5000 AS shard, count(*) AS value FROM lineitem WHERE l_orderkey < 15000 GROUP BY 1, 2) s GROUP BY key")
+@query("j6_distributed_execute", "SELECT key, arg_min(value, shard) AS value FROM (SELECT l_partkey AS key, l_orderkey // ((SELECT max(l_orderkey) FROM lineitem) // 3 + 1) AS shard, count(*) AS value FROM lineitem GROUP BY 1, 2) s GROUP BY key")
 def distributed_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(ready(spark), sf_dir, "lineitem")
+    width = (lines.agg(F.max("l_orderkey")).first()[0] or 0) // 3 + 1
 
     def work(shard: sharding.Shard) -> DataFrame:
         own = lines.where((F.col("l_orderkey") >= shard.start) & (F.col("l_orderkey") < shard.end))
         return own.groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("value"))
 
-    return R.execute_shards(sharding.plan_shards(3, ["eu"], 0, 15000), work)
+    return R.execute_shards(sharding.plan_shards(3, ["eu"], 0, 3 * width), work)
 
 
 @query("j7_indexed_vector_search", f"SELECT id, round(score, 5) AS score FROM (SELECT vec_id AS id, {_COS} AS score FROM embeddings WHERE label < 5) s ORDER BY s.score DESC, id LIMIT 5")

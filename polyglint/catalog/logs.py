@@ -45,9 +45,9 @@ def empty_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.maintained_view(changes(spark, sf_dir).where("false"), "SUM")
 
 
-@query("sc14_change_log", f"SELECT seq, key, value FROM {CHANGES} c WHERE seq % 20 = 0")
+@query("sc14_change_log", f"SELECT seq, key, value FROM {CHANGES} c")
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = changes(spark, sf_dir).where("seq % 20 = 0")
+    log = changes(spark, sf_dir)
     path = scratch(spark, "log")
     C.append(log.where("seq < 5000"), path)
     C.append(log.where("seq >= 5000"), path)
@@ -71,10 +71,19 @@ def skip_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unapplied(changes(spark, sf_dir), marks).select("seq", "region")
 
 
-@query("t12_last_writer_wins", f"SELECT key, arg_max(value, (ts, cluster, seq)) AS value, max(ts) AS ts FROM (SELECT * FROM {CHANGES} c WHERE seq % 4 = 1) w GROUP BY key")
+_ARRIVED = f"""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq % 7, seq) AS n, ts // 1440 AS day FROM {CHANGES} c),
+s AS (SELECT key, n, region, seq, day, cluster, value FROM a WHERE n = 1
+    UNION ALL SELECT s.key, a.n, CASE WHEN w THEN a.region ELSE s.region END, CASE WHEN w THEN a.seq ELSE s.seq END, CASE WHEN w THEN a.day ELSE s.day END, CASE WHEN w THEN a.cluster ELSE s.cluster END, CASE WHEN w THEN a.value ELSE s.value END
+    FROM s JOIN a ON a.key = s.key AND a.n = s.n + 1, LATERAL (SELECT NOT (a.region = s.region AND a.seq <= s.seq) AND (a.day > s.day OR a.day = s.day AND a.cluster > s.cluster) AS w) l)
+SELECT key, arg_max(value, n) AS value, arg_max(day, n) AS ts, arg_max(seq, n) AS seq FROM s GROUP BY key
+"""
+
+
+@query("t12_last_writer_wins", _ARRIVED)
 def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = changes(spark, sf_dir).where("seq % 4 = 1").withColumn("cluster", F.struct("cluster", "seq"))
-    return C.last_writer(log).select("key", "value", "ts")
+    log = changes(spark, sf_dir).withColumns({"ts": F.floor(F.col("ts") / 1440), "arrival": F.struct(F.col("seq") % 7, "seq")})
+    return C.last_writer(log).select("key", "value", "ts", "seq")
 
 
 @query("t13_counters", "SELECT counter, sum(n)::BIGINT AS value FROM (SELECT event_type AS counter, user_id % 8 AS node, max(event_id) AS n FROM events GROUP BY 1, 2) g GROUP BY counter")

@@ -125,10 +125,20 @@ def sampled(rows: DataFrame, key: Column, rate: float) -> DataFrame:
 
 
 def clause_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(clause, change): clauses (clause, text) added, removed or changed."""
-    both = old.withColumnRenamed("text", "old").join(new.withColumnRenamed("text", "new"), "clause", "full")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
-    return both.select("clause", change.alias("change")).where("change is not null")
+    """(clause, change): distinct clauses that only the new or only the old ones have (added, removed), and for each pair of an old
+    and a new clause of which one is the other up to a colon, the new one (changed)."""
+    old, new = (side.select("clause").where("clause is not null").distinct() for side in (old, new))
+
+    def heads(side: DataFrame) -> DataFrame:
+        """Each clause with what stands before each of its colons."""
+        parts = F.split("clause", ":")
+        upto = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), ":"))
+        return side.where(F.col("clause").contains(":")).select("clause", F.explode(upto).alias("head"))
+
+    longer = heads(new).join(old.withColumnRenamed("clause", "head"), "head", "left_semi").select("clause")
+    shorter = heads(old).join(new.withColumnRenamed("clause", "head"), "head").select(F.col("head").alias("clause"))
+    named = lambda side, change: side.select("clause", F.lit(change).alias("change"))
+    return named(new.join(old, "clause", "left_anti"), "added").union(named(old.join(new, "clause", "left_anti"), "removed")).union(named(longer.union(shorter), "changed"))
 
 
 #: Bytes kept beside each value, seconds of a day, spare queries, and latency budgets in milliseconds of read- and write-heavy work.

@@ -62,7 +62,7 @@ def glob(column: Column, pattern: str) -> Column:
     """Match with * and ? as the only special characters; neither crosses a line."""
     special = set(r"\^$.|+()[]{}")
     body = "".join(".*" if c == "*" else "." if c == "?" else f"\\{c}" if c in special else c for c in pattern)
-    return column.rlike(f"^{body}$")
+    return column.rlike(rf"\A{body}\z")
 
 
 def scan_page(keys: DataFrame, pattern: str, cursor: int, count: int) -> DataFrame:

@@ -78,8 +78,21 @@ def tumbling(stream: DataFrame, width: str, delay: str) -> DataFrame:
 
 
 def last_writer(log: DataFrame) -> DataFrame:
-    """(key, value, ts, cluster): the write of the highest time, then cluster, of each key; replays of a region's older changes lose by it."""
-    return log.groupBy("key").agg(F.max_by(F.struct("value", "ts", "cluster"), F.struct("ts", "cluster")).alias("w")).select("key", "w.*")
+    """(key, value, ts, cluster, region, seq): what is held for each key after all changes in the order of `arrival`.
+
+    A change takes the place of the held one if its time is later, or as late and its cluster greater, unless both are of one region
+    and its seq is not above the held one's. What is held decides what is taken next, so the changes of one key meet in one row.
+    """
+    names = ("region", "seq", "ts", "cluster", "value")
+    arrived = F.sort_array(F.collect_list(F.struct("arrival", F.struct(*names).alias("change"))))
+
+    def taken(held: Column, one: Column) -> Column:
+        replay = (one["region"] == held["region"]) & (one["seq"] <= held["seq"])
+        later = (one["ts"] > held["ts"]) | ((one["ts"] == held["ts"]) & (one["cluster"] > held["cluster"]))
+        return F.when(~replay & later, one).otherwise(held)
+
+    of_key = log.groupBy("key").agg(F.transform(arrived, lambda x: x["change"]).alias("c"))
+    return of_key.select("key", F.aggregate("c", F.get("c", F.lit(0)), taken).alias("w")).select("key", "w.value", "w.ts", "w.cluster", "w.region", "w.seq")
 
 
 def conflicts(log: DataFrame) -> DataFrame:
