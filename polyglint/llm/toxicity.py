@@ -60,13 +60,14 @@ class FactorizationMachine:
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, min_z: float = 0.0, epochs: int = 15, spread: float = 0.1, first: float = 1e-4, factors: int = FACTORS):
         toxic = labels == 1
-        with_, clean = (np.bincount(np.concatenate([np.empty(0, np.int64), *(r for r, t in zip(rows, toxic, strict=True) if t == side)]), minlength=BUCKETS) for side in (True, False))
+        with_, clean = (np.bincount(np.concatenate([np.empty(0, np.int32), *(r for r, t in zip(rows, toxic, strict=True) if t == side)]), minlength=BUCKETS) for side in (True, False))
         n1, n0, count = max(1, toxic.sum()), max(1, (~toxic).sum()), with_ + clean
         share = count / (n1 + n0)
         z = np.abs(with_ / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
         self.column = np.full(BUCKETS, -1, np.int32)
         kept = np.flatnonzero((count >= MIN_DOCS) & (z >= min_z))
         self.column[kept] = np.arange(len(kept))
+        del with_, clean, count, share, z
         rng = np.random.default_rng(SEED)
         self.bias = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
         self.weights, self.vectors = np.zeros(len(kept)), rng.normal(0, spread, (len(kept), factors))
@@ -158,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
     found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
     rows = found.select("id", "y", F.pandas_udf(hashed, "array<long>")("text").alias("b")).toPandas().sort_values(["id", "y"], kind="stable")
-    return fitted([np.asarray(b, np.int64) for b in rows["b"]], rows["y"].to_numpy(float))
+    buckets_, y = [np.asarray(b, np.int32) for b in rows["b"]], rows["y"].to_numpy(float)
+    del rows
+    return fitted(buckets_, y)
 
 
 class _Columns(dict):
