@@ -263,7 +263,7 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = written(text_groups(docs, text_col, shingle_words, similarity), "groups")
     rows = keyed.groupBy(F.col(key).alias("text_key"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).join(groups, "text_key")
     rows = written(rows, "rows")
-    firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first"))
+    firsts = bounded(written(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")), "firsts"))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
     marks = written(rows.join(firsts, "component").where(~stays | (F.col("n") > 1)).select(F.col("text_key").alias(key), F.col("id").alias(own), stays.alias(again)), "marks")
     found = keyed.join(bounded(marks).withColumnRenamed(key, key + "_"), (F.col(key) == F.col(key + "_")) & F.col(id_col).eqNullSafe(F.col(own)), "left")
