@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_FALLBACK}"
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark runs in one process (tests)."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file://{_FALLBACK}"
+    raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
