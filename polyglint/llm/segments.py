@@ -13,11 +13,15 @@ from polyglint.llm.common import MEMO_ENTRIES
 BLOCK_CHARS = 1 << 20
 
 
+def ragged_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., starts[0] + lengths[0] - 1, then the same for the next start, and so on."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[starts[0] : starts[0] + lengths[0]], then the same for the next start, and so on, as one array."""
-    total = int(lengths.sum())
-    ends = np.cumsum(lengths)
-    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    return flat[ragged_ranges(starts, lengths)]
 
 
 class WordRows(dict):

@@ -1,6 +1,7 @@
 """The operators on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; each against a plain version."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -472,41 +473,49 @@ def test_quality(spark):
     assert {r["quality"]["score"] for r in blank} == {0.5}
 
 
-def test_bm25(spark, docs, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25(spark, docs, monkeypatch, small):
+    if small:  # many shards, groups of shards and query blocks
+        for name, value in {"SHARD_DOCS": 16, "BLOCK_DOCS": 4, "QUERIES": 5, "SHARDS_A_TASK": 2, "STEP": 3, "LONG_SHARE": 8}.items():
+            monkeypatch.setattr(bm25, name, value)
     rows = [r for r in docs.collect() if r["doc_id"] is not None]
     found = bm25.top_k(docs.withColumn("term", F.lit(1)), docs.where(F.col("doc_id") % 5 == 0), 4).collect()
     bags = [Counter(bm25.terms_of(r["text"] or "")) for r in rows]
     sizes = np.array([b.total() for b in bags], float)
     df = Counter(t for b in bags for t in b)
-    idf = dict(zip(df, bm25.inverse_frequency(np.array([*df.values()]), len(rows)), strict=True))
+    idf = {t: math.log1p((len(rows) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     got = defaultdict(list)
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["doc_id"], r["score"]))
     for query in {r["doc_id"]: r for r in rows if r["doc_id"] % 5 == 0}.values():
         terms = set().union(*(bm25.terms_of(r["text"] or "") for r in rows if r["doc_id"] == query["doc_id"]))
-        scores = [(sum(idf[t] * bm25.impact(np.array(float(b[t])), np.array(n), sizes.mean()) for t in terms if b[t]) / 4096**2, r["doc_id"]) for b, n, r in zip(bags, sizes, rows, strict=True)]
-        best = sorted((s for s in scores if s[0] > 0), key=lambda s: (-s[0], s[1]))[:4]
-        assert [(d, s) for s, d in best] == got[query["doc_id"]]
+        scores = [(math.fsum(idf[t] * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * n / sizes.mean())) for t in terms if b[t]), r["doc_id"]) for b, n, r in zip(bags, sizes, rows, strict=True)]
+        best = sorted((s for s in scores if s[0] > 0), key=lambda s: (-round(s[0], 9), s[1]))[:4]
+        assert [d for _, d in best] == [d for d, _ in got[query["doc_id"]]]
+        assert [s for s, _ in best] == pytest.approx([s for _, s in got[query["doc_id"]]], rel=1e-12)
     assert bm25.top_k(docs.limit(0), docs.limit(0)).count() == 0
     assert bm25.top_k(docs, docs.limit(0)).count() == 0
 
 
-def test_bm25_prunes_without_changing_results():
+def test_bm25_prunes_without_changing_results(monkeypatch):
+    monkeypatch.setattr(bm25, "STEP", 3)
     rng = np.random.default_rng(12)
-    n, terms = 2000, np.arange(300, dtype=np.int64) * 7
-    order = np.sort(rng.integers(5, 200, n))[::-1]
-    bags = [np.unique((rng.random(size) ** 3 * 300).astype(int), return_counts=True) for size in order]
-    shard = {"ids": np.arange(n), "lengths": order, "sizes": np.array([len(b[0]) for b in bags]), "vocabulary": terms, "term": np.concatenate([b[0] for b in bags]), "tf": np.concatenate([b[1] for b in bags])}
-    df = np.bincount(shard["term"], minlength=300)
-    query = [np.sort(rng.choice(300, 12, replace=False)) for _ in range(20)]
-    pairs = sorted((t, q) for q, ts in enumerate(query) for t in ts)
-    block = {"ids": np.arange(20), "terms": terms, "df": df, "weight": bm25.inverse_frequency(df, n), "query": np.array([q for _, q in pairs], np.int32), "uses": np.bincount([t for t, _ in pairs], minlength=300)}
-    searcher = bm25.Searcher(block, float(order.mean()), 5, common=60)
-    searcher.visit(shard)
-    dense = np.zeros((n, 300))
-    dense[np.repeat(np.arange(n), shard["sizes"]), shard["term"]] = bm25.impact(shard["tf"].astype(float), np.repeat(order, shard["sizes"]).astype(float), float(order.mean()))
+    n, width = 4000, 300
+    lengths = np.sort(rng.integers(5, 200, n))[::-1]
+    bags = [np.unique((rng.random(size) ** 3 * width).astype(int), return_counts=True) for size in lengths]
+    doc, term, tf = np.repeat(np.arange(n), [len(b[0]) for b in bags]), np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    vocabulary = np.arange(width, dtype=np.int64) * 7
+    df = np.bincount(term, minlength=width)
+    query = [np.sort(rng.choice(width, 12, replace=False)) for _ in range(20)]
+    block = {"ids": np.arange(20), "terms": vocabulary, "weight": bm25.inverse_frequency(df, n), "term": np.concatenate(query), "uses": np.full(20, 12)}
+    searcher = bm25.Searcher(block, float(lengths.mean()), 5)
+    for part in (doc < 2000, doc >= 2000):
+        first = int(doc[part][0])
+        searcher.visit(bm25.shard_arrays(np.arange(first, first + 2000), lengths[first : first + 2000], doc[part] - first, term[part], tf[part], vocabulary))
+    dense = np.zeros((n, width))
+    dense[doc, term] = bm25.impact(tf.astype(float), lengths[doc].astype(float), float(lengths.mean()))
     for q, ts in enumerate(query):
-        scores = dense[:, ts] @ block["weight"][ts]
+        scores = np.cumsum(dense[:, ts] * block["weight"][ts], axis=1)[:, -1]
         best = np.lexsort((np.arange(n), -scores))[:5]
         assert searcher.best_ids[q].tolist() == best.tolist() and searcher.best[q].tolist() == scores[best].tolist()
-    assert searcher.pruned > 0
+    assert searcher.skipped > 0 and searcher.scored < searcher.documents - searcher.skipped  # blocks, and pivots within blocks
