@@ -476,7 +476,7 @@ def test_quality(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_bm25(spark, docs, monkeypatch, small):
     if small:  # many shards, groups of shards and query blocks
-        for name, value in {"SHARD_DOCS": 16, "BLOCK_DOCS": 4, "QUERIES": 5, "SHARDS_A_TASK": 2, "STEP": 3, "LONG_SHARE": 8}.items():
+        for name, value in {"SHARD_DOCS": 16, "BLOCK_DOCS": 4, "QUERIES": 5, "SHARDS_A_TASK": 2, "STEP": 3, "LONG_SHARE": 8, "TOGETHER": 3, "ENTRIES": 40}.items():
             monkeypatch.setattr(bm25, name, value)
     rows = [r for r in docs.collect() if r["doc_id"] is not None]
     found = bm25.top_k(docs.withColumn("term", F.lit(1)), docs.where(F.col("doc_id") % 5 == 0), 4).collect()
