@@ -18,6 +18,9 @@ MEMO_ENTRIES = 1_000_000
 #: Rows that a broadcast side may have (some 20 MB of two or three numbers each); larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Tasks that files are dealt to at most; beyond that a task reads several, one after the other.
+MOST_TASKS = 20_000
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a regular expression for the JVM and for DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
