@@ -1,14 +1,14 @@
 """Token ids of documents in raw binary shards, with a minimal perfect hash index from document keys to offsets.
 
 A shard is two files. `<name>.ids`: the ids of its documents, one after the other, little-endian and unsigned, of 16 bits
-if the vocabulary allows, else of 32. `<name>.index`: a numpy archive with the perfect hash (sizes, bits), for each slot a
-32-bit fingerprint of its key and the first row that has it, and for each row its key, whether it has one, and the
-offset of its first id (one more offset ends the last row). Rows stand in ascending order of their keys.
+if the vocabulary allows, else of 32. `<name>.index`: fixed-width little-endian records, so that any of them is read by its
+place: a header (HEAD bytes: width of an id, rows, keys, levels, then the bits of each level), for each 64 bits of the perfect hash
+the bits and the number of ones before them, for each slot the first row of its key and a 32-bit fingerprint of it, and for
+each row its key, whether it has one, and where its ids begin (one more row ends the last). Rows ascend by their keys.
 """
 
 from __future__ import annotations
 
-import io
 import os
 import re
 import uuid
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import new_path, written
+from polyglint.llm.common import MOST_TASKS, new_path, written
 from polyglint.llm.perfect_hash import PerfectHash, mix
 from polyglint.llm.segments import SegmentMemo
 
@@ -30,6 +30,8 @@ from polyglint.llm.segments import SegmentMemo
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 20
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, first_id long, last_id long"
 _FINGERPRINT_SEED = 1_000_003
+HEAD = 2048
+_WORDS, _SLOTS, _ROWS = np.dtype([("bits", "<u8"), ("before", "<i8")]), np.dtype([("row", "<u4"), ("print", "<u4")]), np.dtype([("key", "<i8"), ("valid", "<i8"), ("start", "<i8")])
 
 #: The white space of the byte-level pre-tokeniser's pattern.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -75,45 +77,87 @@ def _tokenizer(path: str) -> ByteTokenizer:
     return _TOKENIZERS[path]
 
 
-def key_index(keys: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-    """Index arrays of one shard; equal keys are neighbours, and the first of them is indexed."""
+def _print(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64), _FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
+
+
+def index_bytes(keys: np.ndarray, valid: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
+    """The index file of one shard; equal keys are neighbours, and the first of them is indexed."""
     first = valid & np.concatenate([[True], (keys[1:] != keys[:-1]) | ~valid[:-1]])[: len(keys)]
-    rows = np.flatnonzero(first)
-    own = keys[rows].view(np.uint64)
-    found = PerfectHash.build(own)
-    slots = found.slots(own)
-    row, prints = np.empty(len(rows), np.int64), np.empty(len(rows), np.uint32)
-    row[slots], prints[slots] = rows, (mix(own, _FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
-    return {"sizes": found.sizes, "bits": found.bits, "row": row, "prints": prints}
+    firsts = np.flatnonzero(first)
+    found = PerfectHash.build(keys[firsts].view(np.uint64))
+    at = found.slots(keys[firsts].view(np.uint64))
+    words, slots, rows = np.zeros(len(found.bits), _WORDS), np.zeros(len(firsts), _SLOTS), np.zeros(len(keys) + 1, _ROWS)
+    words["bits"], words["before"] = found.bits, found.before[:-1]
+    slots["row"][at], slots["print"][at] = firsts, _print(keys[firsts])
+    rows["key"][:-1], rows["valid"][:-1], rows["start"] = keys, valid, offsets
+    head = np.array([width, len(keys), len(firsts), len(found.sizes), *found.sizes], "<i8").tobytes()
+    if len(head) > HEAD:
+        raise ValueError("the perfect hash has too many levels")
+    return b"".join([head.ljust(HEAD, b"\0"), words.tobytes(), slots.tobytes(), rows.tobytes()])
 
 
 class Shard:
-    """One shard's index, and its payload when it is asked for."""
+    """One shard. `load` reads the whole index, for scans; `row_of` and `record` read a few records by their places, however large the shard is."""
 
     def __init__(self, root: str, name: str):
         self.files, self.base = arrow_fs.FileSystem.from_uri(root)
-        self.name = name
-        with self.files.open_input_file(f"{self.base}/{name}.index") as f:
-            a = np.load(io.BytesIO(f.read()))
-            self.keys, self.valid, self.offsets, self.row, self.prints, self.width = (a[k] for k in ("keys", "valid", "offsets", "row", "prints", "width"))
-            self.found = PerfectHash(a["sizes"], a["bits"])
-        self.kind = f"<u{int(self.width)}"
+        self.name, self.bytes_read = name, 0
+        self.index = self.files.open_input_file(f"{self.base}/{name}.index")
+        head = np.frombuffer(self._at(0, HEAD), "<i8")
+        self.width, self.n_rows, self.n_keys, levels = (int(x) for x in head[:4])
+        self.sizes = head[4 : 4 + levels]
+        self.kind, self.words_at = f"<u{self.width}", HEAD
+        self.slots_at = self.words_at + int(self.sizes.sum()) // 64 * _WORDS.itemsize
+        self.rows_at = self.slots_at + self.n_keys * _SLOTS.itemsize
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.index.close()
+
+    def _at(self, start: int, size: int) -> bytes:
+        self.bytes_read += size
+        return self.index.read_at(size, start)
+
+    def load(self) -> None:
+        words, slots, rows = (np.frombuffer(self._at(a, z - a), kind) for a, z, kind in ((self.words_at, self.slots_at, _WORDS), (self.slots_at, self.rows_at, _SLOTS), (self.rows_at, self.rows_at + (self.n_rows + 1) * _ROWS.itemsize, _ROWS)))
+        self.found, self.row, self.prints = PerfectHash(self.sizes, words["bits"].copy()), slots["row"].astype(np.int64), slots["print"].copy()
+        self.keys, self.valid, self.offsets = rows["key"][:-1].copy(), rows["valid"][:-1] == 1, rows["start"].copy()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """First row of each key (signed 64-bit), -1 for keys that the shard does not hold."""
-        own = keys.view(np.uint64)
-        slots = self.found.slots(own)
+        """First row of each key (signed 64-bit) in the loaded index, -1 for keys that the shard does not hold."""
+        slots = self.found.slots(keys.view(np.uint64))
         hit = slots >= 0
-        hit[hit] = self.prints[slots[hit]] == (mix(own[hit], _FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
+        hit[hit] = self.prints[slots[hit]] == _print(keys[hit])
         out = np.full(len(keys), -1, np.int64)
         out[hit] = self.row[slots[hit]]
         hit[hit] = self.keys[out[hit]] == keys[hit]
         return np.where(hit, out, -1)
 
+    def record(self, row: int) -> tuple[int, bool, int, int]:
+        """Key of a row, whether it has one, and where its ids begin and end."""
+        this, after = np.frombuffer(self._at(self.rows_at + row * _ROWS.itemsize, 2 * _ROWS.itemsize), _ROWS).tolist()
+        return this[0], this[1] == 1, this[2], after[2]
+
+    def row_of(self, key: int) -> int:
+        """First row of a key, -1 if the shard does not hold it: a word for each level asked (two or three as a rule), a slot, and
+        the row's own key where the fingerprint fits."""
+        own, first = np.array([key], np.int64), 0
+        for level, size in enumerate(self.sizes.tolist()):
+            bit = first + int(mix(own.view(np.uint64), level)[0] % np.uint64(size))
+            bits, before = np.frombuffer(self._at(self.words_at + bit // 64 * _WORDS.itemsize, _WORDS.itemsize), _WORDS)[0].item()
+            if bits >> bit % 64 & 1:
+                slot = before + (bits & (1 << bit % 64) - 1).bit_count()
+                row, mark = np.frombuffer(self._at(self.slots_at + slot * _SLOTS.itemsize, _SLOTS.itemsize), _SLOTS)[0].item()
+                return row if mark == int(_print(own)[0]) and self.record(row)[0] == key else -1
+            first += size
+        return -1
+
     def read(self, start: int, stop: int) -> np.ndarray:
         with self.files.open_input_file(f"{self.base}/{self.name}.ids") as f:
-            width = int(self.width)
-            return np.frombuffer(f.read_at((stop - start) * width, start * width), self.kind)
+            return np.frombuffer(f.read_at((stop - start) * self.width, start * self.width), self.kind)
 
 
 class _Writer:
@@ -142,9 +186,7 @@ class _Writer:
         keys = np.array([k or 0 for k in self.keys], np.int64)
         offsets = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
         with self.files.open_output_stream(f"{self.base}/{self.name}.index") as f:
-            buffer = io.BytesIO()
-            np.savez_compressed(buffer, keys=keys, valid=valid, offsets=offsets, width=np.int64(self.width), **key_index(keys, valid))
-            f.write(buffer.getvalue())
+            f.write(index_bytes(keys, valid, offsets, self.width))
         yield self.part, self.seq, self.name, len(keys), int(offsets[-1]), *((int(keys[valid].min()), int(keys[valid].max())) if valid.any() else (None, None))
         self.out, self.seq = None, self.seq + 1
 
@@ -187,34 +229,41 @@ def read_store(manifest: DataFrame, root: str) -> DataFrame:
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, start in zip(batch["name"], batch["start"], strict=True):
-                shard = Shard(root, name)
-                rows = np.arange(len(shard.keys))
-                found = shard.find(shard.keys)
-                if not np.array_equal(shard.keys[found[shard.valid]], shard.keys[shard.valid]) or (found[shard.valid] > rows[shard.valid]).any():
-                    raise ValueError(f"the index of shard {name} is damaged")
-                ids, at = shard.read(0, int(shard.offsets[-1])), shard.offsets.tolist()
+                with Shard(root, name) as shard:
+                    shard.load()
+                    rows, found = np.arange(shard.n_rows), shard.find(shard.keys)
+                    if not np.array_equal(shard.keys[found[shard.valid]], shard.keys[shard.valid]) or (found[shard.valid] > rows[shard.valid]).any():
+                        raise ValueError(f"the index of shard {name} is damaged")
+                    ids, at = shard.read(0, int(shard.offsets[-1])), shard.offsets.tolist()
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(shard.keys, ~shard.valid), "start": int(start) + shard.offsets[:-1], "n_tokens": np.diff(shard.offsets), "ids_crc32": np.array(crc, np.int64)})
 
-    return manifest.select("name", "start").repartition(F.col("name")).mapInPandas(scanned, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = manifest.select("name", "start").repartition(min(max(1, manifest.count()), MOST_TASKS), "name")  # a number, or adaptive execution makes one task of them
+    return dealt.mapInPandas(scanned, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest: DataFrame, root: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents with these ids, by the index of the shards whose range may hold them; repeated rows too."""
+    """(doc_id, ids) of the documents with these ids; repeated rows too. A shard is asked for the ids within its range, and what it
+    reads for one does not grow with the shard."""
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.unique(np.array(doc_ids, np.int64))
         for batch in batches:
-            for name in batch["name"]:
-                shard, rows = Shard(root, name), []
-                for key, row in zip(wanted.tolist(), shard.find(wanted).tolist(), strict=True):
-                    while 0 <= row < len(shard.keys) and shard.valid[row] and shard.keys[row] == key:
-                        rows.append((key, shard.read(int(shard.offsets[row]), int(shard.offsets[row + 1])).astype(np.int64).tolist()))
-                        row += 1
+            for name, low, high in zip(batch["name"], batch["first_id"], batch["last_id"], strict=True):
+                mine, rows = wanted[(wanted >= int(low)) & (wanted <= int(high))].tolist(), []
+                if not mine:
+                    continue
+                with Shard(root, name) as shard:
+                    for key in mine:
+                        row = shard.row_of(key)
+                        while 0 <= row < shard.n_rows and (record := shard.record(row))[:2] == (key, True):
+                            rows.append((key, shard.read(*record[2:]).astype(np.int64).tolist()))
+                            row += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
     low, high = (min(doc_ids), max(doc_ids)) if doc_ids else (0, -1)
-    return manifest.where((F.col("last_id") >= low) & (F.col("first_id") <= high)).select("name").mapInPandas(looked_up, "doc_id long, ids array<long>")
+    near = manifest.where((F.col("last_id") >= low) & (F.col("first_id") <= high))
+    return near.select("name", F.col("first_id").cast("string"), F.col("last_id").cast("string")).mapInPandas(looked_up, "doc_id long, ids array<long>")
 
 
 def store_round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:

@@ -289,6 +289,38 @@ def test_encode_decode(spark, docs, pieces):
     assert encode_decode(docs.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_store_reads_a_key_without_the_shard(tmp_path):
+    root, read = f"file://{tmp_path}", {}
+    for n in (1_000, 200_000):
+        keys = np.arange(n, dtype=np.int64) * 3 - n
+        valid = np.arange(n) >= 2
+        (tmp_path / str(n)).write_bytes(b"")
+        (tmp_path / f"{n}.index").write_bytes(token_store.index_bytes(keys, valid, np.arange(n + 1) * 2, 2))
+        with token_store.Shard(root, str(n)) as shard:
+            shard.bytes_read = 0
+            for row in range(2, n, n // 500):
+                assert shard.row_of(int(keys[row])) == row and shard.record(row) == (int(keys[row]), True, 2 * row, 2 * row + 2)
+                assert shard.row_of(int(keys[row]) + 1) == -1
+            read[n] = shard.bytes_read
+            assert shard.row_of(int(keys[0])) == -1
+    assert read[200_000] < 1.1 * read[1_000]
+
+
+def test_token_store_writer_closes_full_shards(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 4)
+    root, closed = f"file://{tmp_path}", []
+    writer = token_store._Writer(root, 7, 2)
+    for i in range(10):
+        writer.add(i // 2, np.full(i + 1, i, np.int32))
+        if writer.full():
+            closed += writer.close()
+    closed += writer.close()
+    assert [(r[0], r[1], *r[3:]) for r in closed] == [(7, 0, 4, 10, 0, 1), (7, 1, 4, 26, 2, 3), (7, 2, 2, 19, 4, 4)]
+    with token_store.Shard(root, closed[1][2]) as shard:
+        row = shard.row_of(3)
+        assert [shard.read(*shard.record(r)[2:]).tolist() for r in (row, row + 1)] == [[6] * 7, [7] * 8]
+
+
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
