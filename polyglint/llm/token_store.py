@@ -31,6 +31,8 @@ SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 20
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, first_id long, last_id long"
 _FINGERPRINT_SEED = 1_000_003
 HEAD = 2048
+#: Segments that a worker remembers.
+MEMO_SEGMENTS = 300_000
 _WORDS, _SLOTS, _ROWS = np.dtype([("bits", "<u8"), ("before", "<i8")]), np.dtype([("row", "<u4"), ("print", "<u4")]), np.dtype([("key", "<i8"), ("valid", "<i8"), ("start", "<i8")])
 
 #: The white space of the byte-level pre-tokeniser's pattern.
@@ -48,7 +50,7 @@ class ByteTokenizer:
         self.size = self.library.get_vocab_size()
         self.segment = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
-        self.memo = SegmentMemo(self.encode_segments, self.segment.findall, re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])"))
+        self.memo = SegmentMemo(self.encode_segments, self.segment.findall, re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])"), MEMO_SEGMENTS)
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(segments, add_special_tokens=False)]
