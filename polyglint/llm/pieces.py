@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polyglint.llm.common import memo
 from polyglint.llm.segments import SegmentMemo
 
 SPACE = "▁"
@@ -175,14 +176,12 @@ class PieceModel:
         return symbols.astype(np.int32), np.bincount(words, minlength=n)
 
 
-_MODELS: dict[str, tuple[PieceModel, SegmentMemo]] = {}
-
-
 def _loaded(path: str) -> tuple[PieceModel, SegmentMemo]:
-    if path not in _MODELS:
+    def load() -> tuple[PieceModel, SegmentMemo]:
         model = PieceModel(path)
-        _MODELS[path] = model, SegmentMemo(model.encode_segments, model.cut, model.safe_cut, MEMO_WORDS)
-    return _MODELS[path]
+        return model, SegmentMemo(model.encode_segments, model.cut, model.safe_cut, MEMO_WORDS)
+
+    return memo(f"pieces of {path}", load)
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import MEMO_ENTRIES
+from polyglint.llm.common import HASH_ENTRIES, memo
 from polyglint.llm.words import blocks
 
 #: Bounds of the sample that models are fitted on: labelled rows, and unlabelled ones that get pseudo-labels.
@@ -41,8 +41,9 @@ def content(text: str | None) -> np.ndarray:
     The size is left to the metadata view.
     """
     bytes_, n, letters, repeats, kinds, last, hashed = np.zeros(256), 0, 0, 0, set(), None, np.zeros(WORD_BUCKETS)
-    if len(_BUCKETS) > MEMO_ENTRIES:
-        _BUCKETS.clear()
+    known = memo("quality", _Buckets)
+    if len(known) > HASH_ENTRIES:
+        known.clear()
     for block in blocks(text or ""):
         words = block.split()
         bytes_ += np.bincount(np.frombuffer(block.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
@@ -50,7 +51,7 @@ def content(text: str | None) -> np.ndarray:
         letters += sum(map(len, words))
         repeats += sum(map(eq, words, words[1:])) + bool(words and words[0] == last)
         kinds.update(words)
-        hashed += np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS)
+        hashed += np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS)
         last = words[-1] if words else last
     shares = np.log(bytes_ @ _OF_CLASS / max(bytes_.sum(), 1) + 1e-3)
     more = [letters / max(n, 1), np.log(len(kinds) + 1) / np.log(n + 2), np.log(repeats / max(n, 1) + 1e-2), len(kinds) / max(n, 1)]
@@ -63,9 +64,6 @@ class _Buckets(dict):
         return found
 
 
-_BUCKETS = _Buckets()
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 

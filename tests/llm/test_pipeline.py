@@ -144,3 +144,30 @@ def test_near_copies_against_brute_force(spark, monkeypatch, bound):
 
 def test_near_dedup_stage_against_brute_force(stages):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stages[3]) == sorted(plain_firsts(stages[2]).values())
+
+
+def test_stages_leave_one_small_table_behind(spark, tmp_path, monkeypatch):
+    import pathlib
+
+    from polyglint.llm import common
+    from polyglint.llm.line_dedup import drop_recurring_lines
+    from polyglint.llm.near_copies import first_of_each_group
+
+    texts = [" ".join(f"word{(k // 2 * 7 + j) % 211}" for j in range(40)) + "\nthe same line recurs in every one of these documents again and again" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    for stage_, table_, rows in ((drop_recurring_lines, "gone", 40), (first_of_each_group, "marks", 20)):
+        out = stage_(docs)
+        left = sorted(p.name.split("-")[0] for p in pathlib.Path(tmp_path, "polyglint").iterdir())
+        assert left.count(table_) == 1 and set(left) <= {"gone", "marks"}
+        assert out.count() == rows
+
+
+def test_a_worker_holds_the_memo_of_one_operator():
+    from polyglint.llm import common, near_copies, quality
+
+    near_copies.shingles("one two three four five six")
+    quality.content("one two three")
+    assert len(common._MEMOS) == 1 and len(common.memo("quality", dict)) == 3
+    assert len(near_copies.shingles("one two three four five six")) == 2
+    assert len(common._MEMOS) == 1
