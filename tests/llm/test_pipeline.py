@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, and the columns of the registered queries."""
 
+import gc
 import os
 import random
 from collections import Counter
@@ -171,3 +172,11 @@ def test_a_worker_holds_the_memo_of_one_operator():
     assert len(common._MEMOS) == 1 and len(common.memo("quality", dict)) == 3
     assert len(near_copies.shingles("one two three four five six")) == 2
     assert len(common._MEMOS) == 1
+
+
+def test_sentencepiece_stage_begins_on_executors_that_gave_their_garbage_back(spark):
+    java, docs = spark._jvm.java.lang, table(spark, SF, "documents")
+    left = java.ref.WeakReference(java.Object())  # only a collection clears it
+    gc.collect()  # until then the gateway holds the object
+    corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert left.get() is None
