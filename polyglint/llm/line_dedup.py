@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyglint.llm.common import fresh, passing, written
+from polyglint.llm.common import BROADCAST_ROWS, fresh, passing, written
 
 #: A template recurs if its lines are in so many documents; shorter lines are never dropped.
 MIN_DOCS, MIN_TOKENS = 10, 3
@@ -49,6 +49,12 @@ def _shapes(marked: DataFrame) -> DataFrame:
     return shapes.where(F.col("share") >= CONSTANT).where((F.col("merged") == 0) | (F.col("fixed") >= strict)).select("form", F.xxhash64("leaf", "shape").alias("template"))
 
 
+def _small(gone: DataFrame) -> DataFrame:
+    """The written line numbers by row, marked for broadcast if BROADCAST_ROWS rows can hold them, ten numbers to a row; else as they are. Texts then need no shuffle."""
+    size = gone.agg(F.sum(10 + F.size("gone"))).first()[0] or 0
+    return F.broadcast(gone) if size <= 10 * BROADCAST_ROWS else gone
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of `docs`, the text without recurring lines, and a struct `lines`: total and dropped.
 
@@ -87,7 +93,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         same = alone.join(written(shared.select("form", "first"), "same"), "form")
         lost = recurring.select("row", "no", "first").union(same.select("row", "no", "first"))
         gone = lost.where(F.struct("row", "no") != F.struct("first.row", "first.no")).groupBy("row").agg(F.collect_set("no").alias("gone"))
-        gone = written(gone, "gone", lasting=True)
+        gone = _small(written(gone, "gone", lasting=True))
     own = fresh(docs, "gone")
     mark = F.col(own)
     every = F.split(F.col(text_col), "\n")
