@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +68,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("together", [0, 1_000])
+def test_components_in_one_task_or_by_rounds(spark, together):
+    rng = random.Random(3)
+    links = [(rng.randrange(300) - 100, rng.randrange(300) - 100) for _ in range(140)] + [(1_000 + i, 1_001 + i) for i in range(60)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*links, (None, 7)], "u long, v long"), together=together).collect()}
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(nodes)}
+    assert found == {x: nodes[r] for x, r in zip(nodes, components(len(nodes), [(at[a], at[b]) for a, b in links if a != b]), strict=True)}
+
+
 def plain_simhash(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])

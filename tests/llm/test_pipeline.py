@@ -143,6 +143,45 @@ def test_near_copies_against_brute_force(spark, monkeypatch, bound):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_copies_keep_little_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    import pathlib
+
+    from polyglint.llm import common
+
+    texts = [" ".join(f"word{(k // 3 * 70 + j + (k % 3 == 2) * (j == 80) * 900) % 2110}" for j in range(90)) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    keys, most, plain = [], 0, near_copies.written
+
+    def watched(df, name, lasting=False):
+        nonlocal most
+        out = plain(df, name, lasting)
+        if name == "leaders":
+            keys.append({r["key"] for r in out.select("key").collect()})
+        left = [p.name.split("-")[0] for p in pathlib.Path(tmp_path, "polyglint").iterdir()]
+        most = max(most, left.count("leaders"), left.count("held"), left.count("sets"))
+        return out
+
+    monkeypatch.setattr(near_copies, "written", watched)
+    assert near_copies.first_of_each_group(docs).count() == 30
+    assert len(keys) == near_copies.SLICES == 4 and all(keys)
+    assert len(set().union(*keys)) == sum(map(len, keys))  # each shingle in one slice
+    assert most == 1  # tables of a step that ended are gone
+
+
+def test_the_driver_gives_its_garbage_back_between_steps(spark):
+    from polyglint.llm.common import passing
+
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = full_collections()
+    with passing(spark):
+        pass
+    assert full_collections() == before + 1
+
+
 def test_near_dedup_stage_against_brute_force(stages):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stages[3]) == sorted(plain_firsts(stages[2]).values())
 
