@@ -562,3 +562,16 @@ def test_bm25_prunes_without_changing_results(monkeypatch):
         best = np.lexsort((np.arange(n), -scores))[:5]
         assert searcher.best_ids[q].tolist() == best.tolist() and searcher.best[q].tolist() == scores[best].tolist()
     assert searcher.skipped > 0 and searcher.scored < searcher.documents - searcher.skipped  # blocks, and pivots within blocks
+
+
+def test_bm25_blocks_hold_documents_of_one_kind(monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    rng, kept = np.random.default_rng(2), {}
+    monkeypatch.setattr(bm25, "_save", lambda root, **arrays: kept.update(arrays) or "x")
+    shard = bm25._ShardBuilder("")
+    for key in range(768):
+        shard.add(key, " ".join(f"{'ab'[key % 2]}{w}" for w in rng.integers(0, 30, 20 + key // 32)))
+    list(shard.close())
+    mixed_ = [len(set((block % 2).tolist())) == 2 for block in np.split(kept["ids"], range(8, 768, 8))]
+    assert sum(mixed_) < bm25.KINDS  # in the order of lengths alone nearly all of the 96 blocks are mixed
+    assert sorted(kept["ids"].tolist()) == list(range(768))
