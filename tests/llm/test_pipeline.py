@@ -169,6 +169,33 @@ def test_near_copies_keep_little_on_disk_at_a_time(spark, tmp_path, monkeypatch)
     assert most == 1  # tables of a step that ended are gone
 
 
+def test_texts_meet_by_like_sizes(spark):
+    rows = [(1, i, size, 0, 1_000 + i % 7) for i, size in enumerate(range(4, 400, 3))]
+    for similarity in (0.5, 0.8, 0.93):
+        placed = spark.createDataFrame(rows, "key long, node long, size int, place int, part long")
+        found = [(r["node1"], r["node2"]) for r in near_copies._meetings(placed, similarity).collect()]
+        like = {(a[1], b[1]) for a in rows for b in rows if a[2] < b[2] and a[2] >= similarity * b[2] - 1e-6 and a[4] != b[4]}
+        assert len(found) == len(set(found)) and set(found) == like
+
+
+def test_a_passage_of_a_share_of_the_texts_is_common_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 10)
+    rng, sizes, w0 = random.Random(5), {}, near_copies.written
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    texts = [f"{own(90)} {passage} {own(90)}" if i % 10 == 0 else own(240) for i in range(1_000)]
+
+    def counted(df, name, lasting=False):
+        out = w0(df, name, lasting)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_copies.first_of_each_group(docs).count() == 1_000
+    assert not sizes["postings"] and not sizes["apart"]
+
+
 def test_the_driver_gives_its_garbage_back_between_steps(spark):
     from polyglint.llm.common import passing
 
