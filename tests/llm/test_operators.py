@@ -332,6 +332,20 @@ def test_token_store_writer_closes_full_shards(tmp_path, monkeypatch):
         assert [shard.read(*shard.record(r)[2:]).tolist() for r in (row, row + 1)] == [[6] * 7, [7] * 8]
 
 
+def test_token_store_encodes_new_segments_together():
+    tokenizer, asked = token_store.ByteTokenizer(tokenizer_path("byte_bpe_50k.json")), []
+    library, encoded = tokenizer.library, tokenizer._encoded
+    tokenizer._encoded = lambda texts: asked.extend(texts) or encoded(texts)
+    rng = np.random.default_rng(6)
+    letters = ["a", "the", "ing", "é", "漢", "\u200b", "\U0001f600", "'s", "!", "?!", "7", "\x1c", "'", "_", "ł", "\u0301", "Ċ"]
+    segments = sorted({" " * int(n % 2) + "".join(rng.choice(letters, int(n))) for n in rng.integers(1, 12, 3_000)} | {"\n", "\n\n", "  ", "\t ", " ", "\r", "\u3000"})
+    ids, lengths = tokenizer.encode_segments(segments)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(s, add_special_tokens=False).ids for s in segments]
+    assert len(asked) < len(segments) / 20
+    tokenizer._encoded, tokenizer.line_feed = encoded, -1  # as if line feeds were taken into other tokens
+    assert all(np.array_equal(a, b) for a, b in zip(tokenizer.encode_segments(segments), (ids, lengths), strict=True))
+
+
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
