@@ -578,6 +578,27 @@ def test_bm25_prunes_without_changing_results(monkeypatch):
     assert searcher.skipped > 0 and searcher.scored < searcher.documents - searcher.skipped  # blocks, and pivots within blocks
 
 
+def test_bm25_reads_blocks_for_many_queries_at_once(monkeypatch):
+    """Products of a block's lists go over all queries that are open there, not over 128 of them at most, and blocks that are in no long list of a step do no harm."""
+    for name, value in {"BLOCK_DOCS": 16, "STEP": 8, "RUN": 4}.items():
+        monkeypatch.setattr(bm25, name, value)
+    rng, n, half = np.random.default_rng(5), 640, 40  # two languages of 40 terms
+    bags = [np.unique(rng.integers(0, half, 30) + half * (k % 2), return_counts=True) for k in range(n)]
+    doc, term, tf = np.repeat(np.arange(n), [len(b[0]) for b in bags]), np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    vocabulary, df = np.arange(2 * half, dtype=np.int64) * 7, np.bincount(term, minlength=2 * half)
+    block = {"ids": np.arange(n), "terms": vocabulary, "weight": bm25.inverse_frequency(df, n), "term": term, "uses": np.array([len(b[0]) for b in bags])}
+    searcher, moves, search = bm25.Searcher(block, 30.0, 3), [], bm25.Searcher._search
+    monkeypatch.setattr(bm25.Searcher, "_search", lambda self, index, some, *a: (moves.append(len(some)), search(self, index, some, *a)))
+    searcher.visit(bm25.shard_arrays(np.arange(n), np.full(n, 30), doc, term, tf, vocabulary))
+    dense = np.zeros((n, 2 * half))
+    dense[doc, term] = bm25.impact(tf.astype(float), 30.0, 30.0)
+    for q, b in enumerate(bags):
+        scores = np.cumsum(dense[:, b[0]] * block["weight"][b[0]], axis=1)[:, -1]
+        best = np.lexsort((np.arange(n), -scores))[:3]
+        assert searcher.best_ids[q].tolist() == best.tolist() and searcher.best[q].tolist() == scores[best].tolist()
+    assert max(moves) > 128
+
+
 def test_bm25_blocks_hold_documents_of_one_kind(monkeypatch):
     monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
     rng, kept = np.random.default_rng(2), {}
