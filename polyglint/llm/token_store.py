@@ -9,6 +9,7 @@ each row its key, whether it has one, and where its ids begin (one more row ends
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from polyglint.llm.common import MOST_TASKS, new_path, written
 from polyglint.llm.perfect_hash import PerfectHash, mix
-from polyglint.llm.segments import SegmentMemo
+from polyglint.llm.segments import SegmentMemo, ragged_ranges, ragged_take
 
 #: A shard is closed when its payload has so many bytes or it has so many documents.
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 20
@@ -37,6 +38,12 @@ _WORDS, _SLOTS, _ROWS = np.dtype([("bits", "<u8"), ("before", "<i8")]), np.dtype
 #: Segments that go to the tokenizers library as one text.
 TOGETHER = 64
 
+#: Ends of words whose ids a worker remembers.
+MOST_ENDS = 10_000
+
+#: What may end a word, and the letters and digits (of Latin alone, as versions of Unicode agree on them) after which it is a pre-token of its own.
+_ENDS, _BEFORE_END = ",.;:!?", frozenset(c for c in map(chr, range(0x100)) if re.match("[0-9A-Za-zÀ-ÖØ-öø-ÿ]", c))
+
 #: The white space of the byte-level pre-tokeniser's pattern.
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -54,7 +61,42 @@ class ByteTokenizer:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         alone = self.library.encode("\n", add_special_tokens=False).ids
         self.line_feed = alone[0] if len(alone) == 1 and self.library.normalizer is None and not any("\n" in t.content for t in self.library.get_added_tokens_decoder().values()) else None
-        self.memo = SegmentMemo(self.encode_segments, self.segment.findall, re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])"))
+        cuts = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
+        self.ends = SegmentMemo(self._encoded, self.segment.findall, re.compile("(?!)"), MOST_ENDS) if self.library.normalizer is None and (cuts.get("type"), cuts.get("use_regex"), cuts.get("add_prefix_space")) == ("ByteLevel", True, False) else None
+        self.memo = SegmentMemo(self.encode_new, self.segment.findall, re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])"))
+
+    def encode_new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the memo's new segments, and how many each has.
+
+        Where the pre-tokeniser is known to cut commas and the like off the end of a word, a word that the memo has is not encoded again with them.
+        """
+        if self.ends is None:
+            return self.encode_segments(segments)
+        known, joined, bases, ends = self.memo.row.get, [], [], []
+        for i in [i for i, segment in enumerate(segments) if segment[-1] in _ENDS]:
+            base = segments[i].rstrip(_ENDS)
+            if (row := known(base)) is not None and base[-1] in _BEFORE_END:
+                joined.append(i)
+                bases.append(row)
+                ends.append(segments[i][len(base) :])
+        if not joined:
+            return self.encode_segments(segments)
+        first, joined, bases, ends = len(self.memo.row) - len(segments), np.array(joined), np.array(bases), self.ends.rows(ends)
+        whole = np.ones(len(segments), bool)
+        whole[joined] = False
+        flat, counts = self.encode_segments(list(compress(segments, whole)))
+        lengths, old = np.empty(len(segments), np.int64), bases < first
+        lengths[whole] = counts
+        of_base, of_end = np.empty(len(bases), np.int64), self.ends.lengths[ends]
+        of_base[old], of_base[~old] = self.memo.lengths[bases[old]], lengths[bases[~old] - first]
+        lengths[joined] = of_base + of_end
+        starts, ids = np.cumsum(lengths) - lengths, np.empty(int(lengths.sum()), np.int32)
+        ids[np.repeat(whole, lengths)] = flat
+        at = starts[joined]
+        ids[ragged_ranges(at[old], of_base[old])] = ragged_take(self.memo.flat, self.memo.starts[bases[old]], of_base[old])
+        ids[ragged_ranges(at[~old], of_base[~old])] = ragged_take(ids, starts[bases[~old] - first], of_base[~old])
+        ids[ragged_ranges(at + of_base, of_end)] = ragged_take(self.ends.flat, self.ends.starts[ends], of_end)
+        return ids, lengths
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all segments, and how many each has.

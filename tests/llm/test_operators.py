@@ -346,6 +346,25 @@ def test_token_store_encodes_new_segments_together():
     assert all(np.array_equal(a, b) for a, b in zip(tokenizer.encode_segments(segments), (ids, lengths), strict=True))
 
 
+def test_token_store_encodes_a_known_word_no_second_time_for_its_end(monkeypatch):
+    tokenizer, asked = token_store.ByteTokenizer(tokenizer_path("byte_bpe_50k.json")), []
+    library, encoded = tokenizer.library, tokenizer._encoded
+    tokenizer._encoded = lambda texts: asked.extend(texts) or encoded(texts)
+    rng = np.random.default_rng(7)
+    letters = ["a", "the", "ing", "é", "漢", "\u200b", "'s", "7", "'", "_", "ł", "\u0301", "…", "-", "²", "ª", "×"]
+    words = sorted({"".join(rng.choice(letters, int(n))) for n in rng.integers(1, 6, 400)})
+    ends = ["", ",", ".", "?!", "...", "'", ")", ".)", ",'", "!", ";:"]
+    texts = [" ".join(words), *(" ".join(w + str(rng.choice(ends)) for w in rng.permutation(words)) for _ in range(8)), ", . ?! ,a .7 a,b, a, , !\n?\n", "a zebra zebra, zebras, zebras"]
+    for _ in range(2):
+        got = [ids.tolist() for text in texts for ids in tokenizer.encode([text])]  # words of earlier texts, and of the same one
+        assert got == [library.encode(text, add_special_tokens=False).ids for text in texts]
+    seen = [w.strip(" ") for text in asked for w in text.split("\n")]
+    assert "zebra" in seen and "zebra," not in seen and "zebras," not in seen
+    monkeypatch.setattr(token_store, "MOST_ENDS", 1)
+    other = token_store.ByteTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    assert [ids.tolist() for ids in other.encode(texts)] == got
+
+
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
@@ -581,17 +600,18 @@ def test_bm25_prunes_without_changing_results(monkeypatch):
 def test_bm25_reads_blocks_for_many_queries_at_once(monkeypatch):
     """Products of a block's lists go over all queries that are open there, not over 128 of them at most, and blocks that are in no long list of a step do no harm."""
     for name, value in {"BLOCK_DOCS": 16, "STEP": 8, "RUN": 4}.items():
-        monkeypatch.setattr(bm25, name, value)
-    rng, n, half = np.random.default_rng(5), 640, 40  # two languages of 40 terms
-    bags = [np.unique(rng.integers(0, half, 30) + half * (k % 2), return_counts=True) for k in range(n)]
+        monkeypatch.setattr(bm25, name, value, raising=False)
+    rng, n, half = np.random.default_rng(5), 640, 40  # two languages of 40 terms, those of the second in fewer documents each
+    bags = [np.unique(rng.integers(0, half, 30 - 20 * (k % 2)) + half * (k % 2), return_counts=True) for k in range(n)]
     doc, term, tf = np.repeat(np.arange(n), [len(b[0]) for b in bags]), np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
     vocabulary, df = np.arange(2 * half, dtype=np.int64) * 7, np.bincount(term, minlength=2 * half)
     block = {"ids": np.arange(n), "terms": vocabulary, "weight": bm25.inverse_frequency(df, n), "term": term, "uses": np.array([len(b[0]) for b in bags])}
-    searcher, moves, search = bm25.Searcher(block, 30.0, 3), [], bm25.Searcher._search
+    searcher, moves, search = bm25.Searcher(block, 20.0, 3), [], bm25.Searcher._search
     monkeypatch.setattr(bm25.Searcher, "_search", lambda self, index, some, *a: (moves.append(len(some)), search(self, index, some, *a)))
-    searcher.visit(bm25.shard_arrays(np.arange(n), np.full(n, 30), doc, term, tf, vocabulary))
+    lengths = np.tile([30, 10], n // 2)
+    searcher.visit(bm25.shard_arrays(np.arange(n), lengths, doc, term, tf, vocabulary))
     dense = np.zeros((n, 2 * half))
-    dense[doc, term] = bm25.impact(tf.astype(float), 30.0, 30.0)
+    dense[doc, term] = bm25.impact(tf.astype(float), lengths[doc].astype(float), 20.0)
     for q, b in enumerate(bags):
         scores = np.cumsum(dense[:, b[0]] * block["weight"][b[0]], axis=1)[:, -1]
         best = np.lexsort((np.arange(n), -scores))[:3]
